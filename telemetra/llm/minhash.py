@@ -6,9 +6,9 @@ instead of BANDS^2 * 2 * ROWS. A pair of similarity s meets in some table with c
 0.9999 at 0.85 and 0.9994 at 0.8. Every link is confirmed on the full shingle sets.
 
 Documents of equal word sequence form one class and only its representative is compared. In a table's bucket all
-members are first compared with the most popular one; only members that stay in another component than it are
-then compared with the rest of the bucket, so a group of near copies costs its size, not its square, and no
-link between components is lost.
+members are led by the most popular one, and in a few rounds each document is compared with one leader; only members
+that stay in another component than their leader are then compared with the rest of the bucket, so documents near
+a leader cost their number, not its square, and no link between components that met in a bucket is lost.
 
 Defined results: words split at ASCII white space, A-Z lower-cased; fewer words than the shingle length make one
 shingle; null, empty and blank texts have none and link with nothing; texts of any length are taken whole; rows
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, written
 
 BANDS, ROWS = 8, 2
+#: Rounds of comparison with leaders before the rest of each bucket is compared; any number gives the same result.
+LEADER_ROUNDS = 3
 #: Words whose hashes a worker keeps; on reaching it the store is emptied.
 KEPT_WORDS = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -117,6 +119,7 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of `docs`."""
+    spark = docs.sparkSession
     sig = written(signatures(docs, size), "signatures")
     with_words = sig.where("same is not null and doc_id is not null")
     classes = written(with_words.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
@@ -129,19 +132,31 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     popular = members.groupBy("rep").agg(F.sum("c").alias("popular"))
     close = f"least(n, n2) * 100 >= {percent} * greatest(n, n2)"
     leaders = members.join(popular, "rep").groupBy("key").agg(F.max(F.struct("popular", (-F.col("rep")).alias("minus"), "n")).alias("top"))
-    leaders = leaders.select("key", (-F.col("top.minus")).alias("rep2"), F.col("top.n").alias("n2"))
-    first = members.join(leaders, "key").where("rep <> rep2").where(close).select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
-    first = written(first, "pairs")
-    links = written(verified(docs, first, size, percent), "links")
-
-    comp = connected_components(links)
+    leaders = leaders.select("key", (-F.col("top.minus")).alias("rep2"), F.col("top.n").alias("n2"), "top.popular")
+    leaders = written(leaders, "leaders")
+    led = written(members.join(leaders, "key").where("rep <> rep2").where(close).groupBy("rep", "rep2").agg(F.max("popular").alias("popular")), "led")
+    links = tested = None
+    comp = spark.createDataFrame([], "id long, component long")
+    for _ in range(LEADER_ROUNDS):
+        # each document with the most popular leader that it shares neither component nor an earlier comparison with
+        open_ = led.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c1", F.coalesce("component", "rep")).drop("component")
+        open_ = open_.join(comp.withColumnRenamed("id", "rep2"), "rep2", "left").where("c1 <> coalesce(component, rep2)")
+        open_ = open_.withColumns({"a": F.greatest("rep", "rep2"), "b": F.least("rep", "rep2")})
+        if tested is not None:
+            open_ = open_.join(tested, ["a", "b"], "left_anti")
+        pairs = open_.groupBy("rep").agg(F.max_by(F.struct("a", "b"), F.struct("popular", "rep2")).alias("p")).select("p.*").distinct()
+        pairs = written(pairs, "pairs")
+        found = written(verified(docs, pairs, size, percent), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        comp = connected_components(links)
     placed = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    led = leaders.select("key", F.col("rep2").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("main"))
-    placed = written(placed.join(split, "key", "left_semi").join(led, "key").select("key", "rep", "n", "component", "main"), "placed")
+    mains = leaders.select("key", F.col("rep2").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("main"))
+    placed = written(placed.join(split, "key", "left_semi").join(mains, "key").select("key", "rep", "n", "component", "main"), "placed")
     minor = placed.where("component <> main").select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
     second = placed.join(minor, "key").where("component <> component2").where(close).where("component = main or rep < rep2")
-    second = second.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    second = second.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     more = verified(docs, written(second, "pairs"), size, percent)
 
     comp = connected_components(links.unionByName(more).unionByName(copies))
