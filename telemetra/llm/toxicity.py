@@ -184,7 +184,7 @@ class _Inputs:
 
 def vector(word: str, w: dict, odds: dict) -> np.ndarray:
     a, b = _places(word)
-    return np.concatenate([w["word"][a], w["tri"][b].mean(axis=0), [odds.get(word, 0.0)]]).astype(np.float32)
+    return np.concatenate([w["word"][a], w["tri"][b].sum(axis=0) / len(b), [odds.get(word, 0.0)]]).astype(np.float32)
 
 
 def _best(texts: list[list[str]], model: Model, inputs: _Inputs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,7 +226,7 @@ def _best(texts: list[list[str]], model: Model, inputs: _Inputs) -> tuple[np.nda
     return top, where, count
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars: int = 20_000, steps: int = 500, seed: int = 7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars: int = 20_000, steps: int = 300, seed: int = 7) -> Model:
     """Fit on at most `per_class` labelled rows of each class outside the hold-out fold, none over `max_chars`."""
     rows = [(zlib.crc32(f"half {d}".encode()) & 1, y, _words(t)) for d, y, t in labelled_sample(docs, labels, "toxic", per_class, max_chars)]
     rows = [r for r in rows if r[2]]
