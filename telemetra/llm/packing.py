@@ -13,6 +13,8 @@ any other columns of its input, except that it replaces sequence_id and offset.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,18 +32,61 @@ KEPT_WORDS = 400_000
 BROADCAST_RUNS = 100_000
 
 
+# How the word tokenizer cuts a word, and the letters (Latin, already composed, of one-letter lower case)
+# for which this can be told without its normaliser.
+_CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_LETTER = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_PLAIN = re.compile(f"(?!.*<\\|)[\\x21-\\x7e{_LETTER}]*", re.S)
+_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTER}]+|[0-9]|[^a-z{_LETTER}0-9]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
+
+
+class _PartIds(dict):
+    """Ids, as bytes, of the parts that the tokenizer cuts words into: characters 33 to 126 and the letters of _LETTER."""
+
+    def __init__(self, tokenizer):
+        self.model, self.letters = tokenizer.model, _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        spelt = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
+        if len(part) < 64:
+            self[part] = ids
+        return ids
+
+
 class _WordIds(dict):
-    """Little-endian uint32 ids of a word as bytes. Ids of a text are those of its words: the tokenizer never joins across white space."""
+    """Little-endian uint32 ids of a word as bytes. Ids of a text are those of its words: the tokenizer never joins across white space.
+
+    Plain words skip the normaliser and meet the vocabulary part by part, most of them from the store; others,
+    and all words of a tokenizer with other rules, go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.parts = tokenizer.encode, _PartIds(tokenizer)
+        said = json.loads(tokenizer.to_str())
+        cuts = [p.get("pattern", {}).get("Regex") for p in (said["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        kinds = [n["type"] for n in (said["normalizer"] or {}).get("normalizers", [])]
+        self.known = cuts == [_CUT, None] and kinds == ["NFC", "Replace", "Lowercase"]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.known and (word.isalpha() and word.isascii() or _PLAIN.fullmatch(word)):
+            ids = b"".join([self.parts[x] for x in _PART.findall(word.lower())])
+        else:
+            ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) < 64:
             self[word] = ids
         return ids
