@@ -13,7 +13,6 @@ scored; repeated rows get equal scores; other columns are ignored; without enoug
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections import Counter
@@ -48,10 +47,34 @@ def _words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-@functools.lru_cache(100_000)
-def _places(word: str) -> tuple[int, list[int]]:
-    raw = f"<{word[:40]}>".encode("utf-8", "replace")
-    return zlib.crc32(raw) % WORD_ROWS, [zlib.crc32(raw[k : k + 3]) % TRIGRAM_ROWS for k in range(len(raw) - 2)]
+Places = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _places(words: list[str]) -> Places:
+    """Row of each word, rows of the trigrams of all words one after another, and where each word's begin."""
+    rows, starts, tri = np.empty(len(words), np.int64), np.empty(len(words), np.int64), []
+    crc = zlib.crc32
+    for k, word in enumerate(words):
+        raw = f"<{word[:40]}>".encode("utf-8", "replace")
+        rows[k], starts[k] = crc(raw) % WORD_ROWS, len(tri)
+        tri += [crc(raw[i : i + 3]) for i in range(len(raw) - 2)]
+    return rows, np.array(tri, np.int64) % TRIGRAM_ROWS, starts
+
+
+def _of(places: Places, which: np.ndarray) -> Places:
+    """The places of some of the words."""
+    rows, tri, starts = places
+    n = np.diff(starts, append=len(tri))[which]
+    at = np.cumsum(n) - n
+    return rows[which], tri[np.arange(n.sum()) + np.repeat(starts[which] - at, n)], at
+
+
+def vectors(places: Places, odds: np.ndarray, w: dict) -> np.ndarray:
+    """A row of inputs for each word."""
+    rows, tri, starts = places
+    n = np.diff(starts, append=len(tri))
+    means = np.add.reduceat(w["tri"][tri], starts, axis=0) / n[:, None]
+    return np.concatenate([w["word"][rows], means, odds[:, None]], axis=1).astype(np.float32)
 
 
 def _windows(n: int) -> list[int]:
@@ -169,24 +192,21 @@ class _Inputs:
         self.rows = np.empty((KEPT_WORDS + 1, 6 * HIDDEN), np.float32)
         self.rows[0] = self.bias
 
-    def ids(self, words: list[str]) -> np.ndarray:
+    def ids(self, words: list[str]) -> np.ndarray | None:
         place = self.place
         try:
             return np.array([place[x] for x in words])
         except KeyError:
-            for x in {*words} - place.keys():
-                if len(place) >= KEPT_WORDS:
-                    return None
-                place[x] = k = len(place) + 1
-                self.rows[k] = vector(x, self.m.weights, self.m.odds) @ self.w + self.bias
+            new = [*({*words} - place.keys())]
+            first = len(place) + 1
+            if first + len(new) > KEPT_WORDS + 1:
+                return None
+            place.update(zip(new, range(first, first + len(new))))
+            odds = np.array([self.m.odds.get(x, 0.0) for x in new], np.float32)
+            self.rows[first : first + len(new)] = vectors(_places(new), odds, self.m.weights) @ self.w + self.bias
             return np.array([place[x] for x in words])
 
 
-def vector(word: str, w: dict, odds: dict) -> np.ndarray:
-    a, b = _places(word)
-    return np.concatenate([w["word"][a], w["tri"][b].sum(axis=0) / len(b), [odds.get(word, 0.0)]]).astype(np.float32)
-
-
 def _best(texts: list[list[str]], model: Model, inputs: _Inputs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text (of one word or more): highest logit, its window's start, number of windows."""
     top, where, count = np.full(len(texts), -np.inf), np.zeros(len(texts), int), np.zeros(len(texts), int)
@@ -226,7 +246,7 @@ def _best(texts: list[list[str]], model: Model, inputs: _Inputs) -> tuple[np.nda
     return top, where, count
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars: int = 20_000, steps: int = 300, seed: int = 7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars: int = 8_000, steps: int = 300, seed: int = 7) -> Model:
     """Fit on at most `per_class` labelled rows of each class outside the hold-out fold, none over `max_chars`."""
     rows = [(zlib.crc32(f"half {d}".encode()) & 1, y, _words(t)) for d, y, t in labelled_sample(docs, labels, "toxic", per_class, max_chars)]
     rows = [r for r in rows if r[2]]
@@ -240,6 +260,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars: in
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in w.items()}
     kinds = [np.flatnonzero(y == 0), np.flatnonzero(y == 1)]
     halves = np.array([r[0] for r in rows])
+    vocabulary = {x: k for k, x in enumerate(sorted({x for t in texts for x in t}))}
+    coded = [np.array([vocabulary[x] for x in t]) for t in texts]
+    places = _places([*vocabulary])
+    told = [np.array([o.get(x, 0.0) for x in vocabulary], np.float32) for o in other]
 
     def tops(of: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         top, where, count = np.zeros(len(of)), np.zeros(len(of), int), np.zeros(len(of), int)
@@ -253,23 +277,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars: in
     # at first the window with the most telling words stands for a text, later the one that the network ranks first
     chosen = [max(_windows(len(t)), key=lambda s: sum(other[h].get(x, 0) for x in t[s : s + WIDTH])) for t, h in zip(texts, halves)]
     for step in range(1, steps + 1):
-        of = [*rng.choice(kinds[0], 12), *rng.choice(kinds[1], 12)]
+        of = [*rng.choice(kinds[0], 16), *rng.choice(kinds[1], 16)]
         if step % 100 == 0:
             chosen = tops([*range(len(texts))])[1]
-        where = [chosen[i] for i in of]
         x = np.zeros((WIDTH, len(of), 2 * DIM + 1), np.float32)
         mask = np.zeros((WIDTH, len(of)), bool)
-        used = []
-        for k, (i, s) in enumerate(zip(of, where)):
-            for t, word in enumerate(texts[i][s : s + WIDTH]):
-                x[t, k], mask[t, k] = vector(word, w, other[halves[i]]), True
-                used.append((t, k, *_places(word)))
+        ids = np.zeros((WIDTH, len(of)), np.int64)
+        for k, i in enumerate(of):
+            part = coded[i][chosen[i] : chosen[i] + WIDTH]
+            ids[: len(part), k], mask[: len(part), k] = part, True
+            x[: len(part), k, 2 * DIM] = told[halves[i]][part]
+        used, back = np.unique(ids[mask], return_inverse=True)
+        mine = _of(places, used)
+        x[mask, : 2 * DIM] = vectors(mine, np.zeros(len(used), np.float32), w)[back, : 2 * DIM]
         grads = _backward(x, mask, y[of], w)
-        dx = grads.pop("x")
+        each = np.zeros((len(used), 2 * DIM), np.float32)
+        np.add.at(each, back, grads.pop("x")[mask][:, : 2 * DIM])
+        n = np.diff(mine[2], append=len(mine[1]))
         grads["word"], grads["tri"] = np.zeros_like(w["word"]), np.zeros_like(w["tri"])
-        np.add.at(grads["word"], [u[2] for u in used], dx[[u[0] for u in used], [u[1] for u in used], :DIM])
-        for t, k, _, tri in used:
-            np.add.at(grads["tri"], tri, dx[t, k, DIM : 2 * DIM] / len(tri))
+        np.add.at(grads["word"], mine[0], each[:, :DIM])
+        np.add.at(grads["tri"], mine[1], np.repeat(each[:, DIM:] / n[:, None], n, axis=0))
         for key, g in grads.items():
             m = moment[key]
             g = g + 1e-5 * w[key]
