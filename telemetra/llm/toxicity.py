@@ -197,7 +197,7 @@ class _Inputs:
         try:
             return np.array([place[x] for x in words])
         except KeyError:
-            new = [*({*words} - place.keys())]
+            new = [x for x in {*words} if x not in place]
             first = len(place) + 1
             if first + len(new) > KEPT_WORDS + 1:
                 return None
