@@ -56,7 +56,7 @@ def test_pack_round_trip(spark):
             assert offset == at
             at += length
         assert at <= 2048
-    assert len(by) == 4
+    assert len(by) == -(-sum(r.length for r in got) // 2048)
 
 
 def test_empty_table(spark):
