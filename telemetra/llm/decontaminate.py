@@ -27,14 +27,29 @@ MASKS = ("111111", "110110011", "11010011001", "1011001101", "1100101011", "1011
 RUN, SHARE = 20, 0.8
 #: Up to this number of benchmark hashes every task holds them (20 bytes each); more are joined by shuffle.
 BROADCAST_HASHES = 2_000_000
+#: Words whose hashes a worker keeps.
+KEPT_WORDS = 400_000
 _TOKEN = re.compile(r"[^\W_]+")
 
 
-def tokens(text: str | None) -> np.ndarray:
-    import xxhash
+class _Hashes(dict):
+    """Hashes of words; emptied on reaching KEPT_WORDS."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+        return h
+
 
+_STORE = _Hashes()
+
+
+def tokens(text: str | None) -> np.ndarray:
     words = _TOKEN.findall((text or "").lower())
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+    return np.fromiter(map(_STORE.__getitem__, words), np.uint64, len(words))
 
 
 def seeds(values: np.ndarray, mask: int) -> np.ndarray:
