@@ -7,8 +7,9 @@ instead of BANDS^2 * 2 * ROWS. A pair of similarity s meets in some table with c
 
 Documents of equal word sequence form one class and only its representative is compared. In a table's bucket all
 members are led by the most popular one, and in a few rounds each document is compared with one leader; only members
-that stay in another component than their leader are then compared with the rest of the bucket, so documents near
-a leader cost their number, not its square, and no link between components that met in a bucket is lost.
+of buckets that still hold several components are then compared, those that share one of their rarest shingles and are
+in different components, so documents near a leader cost their number, not its square, documents that only hold the
+same passage meet no more, and no link between components that met in a bucket is lost.
 
 Defined results: words split at ASCII white space, A-Z lower-cased; fewer words than the shingle length make one
 shingle; null, empty and blank texts have none and link with nothing; texts of any length are taken whole; rows
@@ -33,6 +34,8 @@ BANDS, ROWS = 8, 2
 LEADER_ROUNDS = 3
 #: Words whose hashes a worker keeps; on reaching it the store is emptied.
 KEPT_WORDS = 500_000
+#: Cells of the table that tells rare shingles from frequent ones; it only orders them, so any number gives the same result.
+CELLS = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -117,6 +120,54 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
+def _needed(n: int, percent: int) -> int:
+    """The least number of shingles that a set of `n` shares with any set of that similarity."""
+    return -(-n * percent // 100)
+
+
+def rare_pairs(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of other components that share one of the rarest shingles of each, from (id, component, text).
+
+    In one common order of shingles, sets of similarity t share one of the first n - ceil(t * n) + 1 of each, and
+    enough shingles follow the first that they share; so no link is lost, whatever the order. The order here
+    is by how often a shingle's cell occurs in these texts, counted in a table of CELLS numbers.
+    """
+    spark = texts.sparkSession
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            found = [np.empty(0, np.uint64), *(shingles(text, size)[0] for text in batch.text)]
+            total += np.bincount((np.concatenate(found) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at, "n": total[at]})
+
+    counted = texts.select("text").mapInPandas(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(CELLS, np.int64)  # CELLS numbers at any size of input
+    often[counted.cell.to_numpy()] = counted.n.to_numpy()
+    often = spark.sparkContext.broadcast(often)
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for i, component, text in zip(batch.id, batch.component, batch.text):
+                values = shingles(text, size)[0]
+                n = len(values)
+                if n:
+                    values = values[np.lexsort((values, often.value[(values % np.uint64(CELLS)).astype(np.int64)]))][: n - _needed(n, percent) + 1]
+                    parts.append(pd.DataFrame({"shingle": values.view(np.int64), "id": i, "component": component, "n": n, "at": np.arange(len(values))}))
+            if parts:
+                yield pd.concat(parts)
+
+    rows = written(texts.mapInPandas(rarest, "shingle long, id long, component long, n long, at long"), "rare")
+    held = rows.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k"))
+    mixed = written(rows.join(held.where("k > 1").drop("k"), "shingle"), "mixed")
+    minor = mixed.where("component <> main").select("shingle", *[F.col(c).alias(c + "2") for c in ("id", "component", "n", "at")])
+    both = mixed.join(minor, "shingle").where("component <> component2").where("component = main or id < id2")
+    both = both.where(f"least(n, n2) * 100 >= {percent} * greatest(n, n2)").where(f"least(n - at, n2 - at2) * (100 + {percent}) >= {percent} * (n + n2)")
+    return both.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
+
+
 def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of `docs`."""
     spark = docs.sparkSession
@@ -152,12 +203,10 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         comp = connected_components(links)
     placed = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    mains = leaders.select("key", F.col("rep2").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("main"))
-    placed = written(placed.join(split, "key", "left_semi").join(mains, "key").select("key", "rep", "n", "component", "main"), "placed")
-    minor = placed.where("component <> main").select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    second = placed.join(minor, "key").where("component <> component2").where(close).where("component = main or rep < rep2")
-    second = second.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = verified(docs, written(second, "pairs"), size, percent)
+    open_ = placed.join(split, "key", "left_semi").groupBy(F.col("rep").alias("id")).agg(F.first("component").alias("component"))
+    texts = written(docs.select(F.col("doc_id").alias("id"), "text").join(open_, "id"), "texts")
+    pairs = written(rare_pairs(texts, size, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = verified(texts.withColumnRenamed("id", "doc_id"), pairs, size, percent)
 
     comp = connected_components(links.unionByName(more).unionByName(copies))
     out = sig.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
