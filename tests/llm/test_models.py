@@ -89,6 +89,30 @@ def test_chat_links_calls(spark):
     assert chat.canonical({"b": 1, "a": "é"}) == '{"a":"é","b":1}'
 
 
+def test_chat_validates_by_the_tools_of_the_conversation(spark):
+    call = lambda *calls: json.dumps({"tool_calls": [dict(zip(("id", "name", "arguments"), c)) for c in calls]})
+    tools = lambda **given: json.dumps({"tools": [{"name": k, "parameters": v} for k, v in given.items()]})
+    integer = {"type": "object", "required": ["x"], "properties": {"x": {"type": ["integer", "null"]}}, "additionalProperties": False}
+    number = {"type": "object", "required": ["y"], "properties": {"y": {"$ref": "#/$defs/positive"}}, "$defs": {"positive": {"type": "number", "exclusiveMinimum": 0}}}
+    nested = json.dumps({"tools": [{"type": "function", "function": {"name": "add", "parameters": number}}, {"name": "say", "input_schema": {"properties": {"w": {"enum": ["a", 1]}}}}]})
+    turns = [
+        (1, 0, "system", tools(add=integer, odd={"if": {}}, bad={"type": "none"}, bare=None)),
+        (1, 1, "assistant", call(("a", "add", '{"x":1}'), ("b", "add", '{"x":"no"}'), ("c", "add", "{}"), ("d", "other", "{}"), ("e", "add", "broken"))),
+        (1, 2, "assistant", call(("f", "odd", "{}"), ("g", "bad", "{}"), ("h", "bare", "{}"), ("i", "add", '{"x":null}'), ("j", "add", '{"x":true}'))),
+        (1, 3, "system", nested),  # from here on `add` takes another argument
+        (1, 3, "system", nested),
+        (1, 4, "assistant", call(("k", "add", '{"x":1}'), ("l", "add", '{"y":0.5}'), ("m", "add", '{"y":0}'), ("n", "say", '{"w":1.0}'), ("o", "say", '{"w":true}'))),
+        (2, 0, "assistant", call(("p", "add", "{}"))),  # another conversation, without tools
+        (3, 0, "system", '{"tools": "none"}'),
+        (3, 1, "user", tools(add=integer)),
+        (3, 2, "assistant", call(("q", "add", "{}"))),
+    ]
+    rows = chat.digest(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    calls = {r.call_id: r.valid for r in rows if r.kind == "call"}
+    want = dict(a=True, b=False, c=False, d=None, e=False, f=None, g=None, h=None, i=True, j=False, k=False, l=True, m=False, n=True, o=False, p=None, q=None)
+    assert calls == want and len(rows) == len(want) + 5
+
+
 PAGE = """<html><head><title>t</title><script>var a = "<p>x</p>";</script></head><body><div class="nav"><a href="/">Home</a></div>
 <div class="post-{n}"><h1>Title {n}</h1><p>First &amp; long   paragraph number {n} with <b>bold</b> words that go on for a while, as articles do.</p>
 <p>Second one, also of some length, so that the container is worth more than anything else here.</p></div>
