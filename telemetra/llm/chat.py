@@ -12,7 +12,9 @@ Defined results: a turn that isn't JSON is a plain message; null roles and texts
 without a result, results without a call, repeated identifiers (each call meets each result) and dependencies
 that don't exist or go round (level null) are reported, never dropped; arguments that aren't JSON have false `valid`;
 tools without a schema, and schemas that are broken or use keywords in `_UNAPPLIED`, have null `valid`; one row
-per turn without calls and one per call, so no conversation is ever gathered in one place.
+per turn without calls and one per call, so no conversation is ever gathered in one place. What a turn says beside its
+calls makes one more row, a message with place -1: its `content`, other fields that it has (`fields`) and text after
+the JSON object (`after`).
 """
 
 from __future__ import annotations
@@ -32,8 +34,13 @@ TOOLS = "struct<tools:array<struct<name:string,parameters:string,input_schema:st
 _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
 
+#: Halves of surrogate pairs, which UTF-8 can't hold; they stay escaped.
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _LONE.sub(lambda x: f"\\u{ord(x[0]):04x}", text)
 
 
 #: Keywords that restrict values and are not checked here; a schema with one of them decides nothing.
@@ -163,6 +170,18 @@ def levels(calls: DataFrame) -> DataFrame:
     return done.groupBy("conv_id", "id").agg(F.max("level").alias("level"))
 
 
+def _beside(role: str | None, text: str) -> list[str]:
+    """The canonical JSON of what a turn says beside its calls, if anything."""
+    try:
+        said, end = json.JSONDecoder().raw_decode(text)
+    except (ValueError, RecursionError):
+        return [canonical({"role": role, "content": text})]
+    fields = {k: v for k, v in said.items() if v is not None and k not in ("tool_calls", "content") and (k, v) != ("role", role)}
+    out = {k: v for k, v in (("fields", fields), ("after", text[end:].strip())) if v}
+    content = said.get("content")
+    return [canonical({"role": role, "content": content, **out})] if out or content is not None else []
+
+
 def linked(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """(conv_id, turn, place, role, kind, call_id, level, valid, json) from turns (conv_id, turn, role, text).
 
@@ -172,6 +191,12 @@ def linked(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFram
     rows = turns.select("conv_id", "turn", "role", "text")
     rows = rows.withColumn("calls", F.when((F.col("role") == "assistant") & F.col("text").startswith("{"), F.from_json("text", CALLS)["tool_calls"]))
     rows = rows.withColumn("answer", F.when((F.col("role") == "tool") & F.col("text").startswith("{"), F.from_json("text", RESULT)))
+
+    @F.pandas_udf("array<string>")
+    def beside(role: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([_beside(r, t) for r, t in zip(role, text)], dtype=object)
+
+    said = rows.where("size(calls) > 0").select("conv_id", "turn", "role", F.explode(beside("role", "text")).alias("json"))
     calling = rows.where("size(calls) > 0").select("conv_id", "turn", "role", F.posexplode("calls").alias("place", "c")).select("conv_id", "turn", "role", "place", "c.*")
     answers = rows.where("answer.tool_call_id is not null").select("conv_id", F.col("answer.tool_call_id").alias("id"), F.col("turn").alias("result_turn"), F.col("answer.content").alias("result"))
 
@@ -206,7 +231,9 @@ def linked(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFram
     others = results.unionByName(plain).select("conv_id", "turn", F.lit(0).alias("place"), "role", "kind", F.col("id").alias("call_id"), F.lit(None).cast("int").alias("level"), none.alias("name"), none.alias("schema"), none.alias("arguments"), none.alias("result"), "text")
     both = calls.unionByName(others)
     made = told("name", "schema", "arguments", F.when(F.col("kind") == "call", F.col("call_id")), "result", "role", "text")
-    return both.withColumn("made", made).select("conv_id", "turn", "place", "role", "kind", "call_id", "level", "made.valid", "made.json")
+    both = both.withColumn("made", made).select("conv_id", "turn", "place", "role", "kind", "call_id", "level", "made.valid", "made.json")
+    unset = [none.alias("call_id"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("valid")]
+    return both.unionByName(said.select("conv_id", "turn", F.lit(-1).alias("place"), "role", F.lit("message").alias("kind"), *unset, "json"))
 
 
 def digest(turns: DataFrame) -> DataFrame:

@@ -113,6 +113,26 @@ def test_chat_validates_by_the_tools_of_the_conversation(spark):
     assert calls == want and len(rows) == len(want) + 5
 
 
+def test_chat_keeps_what_is_said_beside_calls(spark):
+    calls = [{"id": "a", "name": "f", "arguments": "{}"}]
+    said = [
+        {"role": "assistant", "content": "Let me look, é.", "tool_calls": calls},
+        {"content": None, "tool_calls": calls},
+        {"content": [{"type": "text", "text": "one"}], "reasoning": "two", "refusal": None, "tool_calls": calls},
+        {"tool_calls": calls},
+    ]
+    turns = [(k, 0, "assistant", json.dumps(x)) for k, x in enumerate(said)] + [(4, 0, "assistant", json.dumps(said[3]) + " and so on"), (6, 0, "assistant", json.dumps({"content": "\ud800", "tool_calls": calls})), (5, 0, "assistant", "plain")]
+    rows = chat.digest(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(r.conv_id for r in rows if r.kind == "call") == [0, 1, 2, 3, 4, 6]
+    assert {r.conv_id: (r.turn, r.place, r.json) for r in rows if r.kind == "message"} == {
+        0: (0, -1, '{"content":"Let me look, é.","role":"assistant"}'),
+        2: (0, -1, '{"content":[{"text":"one","type":"text"}],"fields":{"reasoning":"two"},"role":"assistant"}'),
+        4: (0, -1, '{"after":"and so on","content":null,"role":"assistant"}'),
+        5: (0, 0, '{"content":"plain","role":"assistant"}'),
+        6: (0, -1, '{"content":"\\ud800","role":"assistant"}'),
+    }
+
+
 PAGE = """<html><head><title>t</title><script>var a = "<p>x</p>";</script></head><body><div class="nav"><a href="/">Home</a></div>
 <div class="post-{n}"><h1>Title {n}</h1><p>First &amp; long   paragraph number {n} with <b>bold</b> words that go on for a while, as articles do.</p>
 <p>Second one, also of some length, so that the container is worth more than anything else here.</p></div>
