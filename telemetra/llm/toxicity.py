@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as a hashed word vector, the mean of hashed character-trigram vectors, and one number: how much more
-often it occurs in toxic than in other training documents. A text is read in overlapping windows of WIDTH words;
+often it occurs in toxic than in other training documents. A run of over 40 letters and digits, as in text without
+separators, counts as words of 40 and a rest, so every one of them is read. A text is read in overlapping windows of WIDTH words;
 each window gets a logit from the attention-pooled states of both directions, and a document's logit is its
 highest one. Training passes the gradient through that window. A logistic curve on the logit and the number of
 windows, fitted on training rows, makes it a probability; word counts used on one half of the training rows come
@@ -32,7 +33,7 @@ WORD_ROWS, TRIGRAM_ROWS = 1 << 13, 1 << 11
 KEPT_WORDS = 150_000
 #: Windows that are scored at a time.
 AT_ONCE = 2048
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"[^\W_]{1,40}")
 
 
 @dataclass
@@ -55,7 +56,7 @@ def _places(words: list[str]) -> Places:
     rows, starts, tri = np.empty(len(words), np.int64), np.empty(len(words), np.int64), []
     crc = zlib.crc32
     for k, word in enumerate(words):
-        raw = f"<{word[:40]}>".encode("utf-8", "replace")
+        raw = f"<{word}>".encode("utf-8", "replace")
         rows[k], starts[k] = crc(raw) % WORD_ROWS, len(tri)
         tri += [crc(raw[i : i + 3]) for i in range(len(raw) - 2)]
     return rows, np.array(tri, np.int64) % TRIGRAM_ROWS, starts

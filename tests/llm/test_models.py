@@ -70,6 +70,16 @@ def test_toxicity_finds_a_word_anywhere(spark):
     assert right >= 0.9 * len(rows)
 
 
+def test_toxicity_reads_long_runs_whole(spark):
+    run = "".join(chr(0x4E00 + k) for k in range(130))
+    assert "".join(toxicity._words(run + " " + run)) == run + run
+    docs = spark.createDataFrame([(k, "x" * 40 + ("vile" if k % 3 == 0 else "mild") + str(k)) for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int")
+    rows = [r for r in toxicity.digest(docs, labels).collect() if r.held_out]
+    right = sum(r.predicted == int(r.doc_id % 3 == 0) for r in rows)
+    assert right >= 0.9 * len(rows)
+
+
 def test_chat_links_calls(spark):
     call = lambda *calls: json.dumps({"tool_calls": [dict(zip(("id", "name", "arguments", "depends_on"), c)) for c in calls]})
     turns = [
