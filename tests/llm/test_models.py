@@ -2,6 +2,7 @@
 
 import json
 import random
+import zlib
 
 import numpy as np
 
@@ -80,6 +81,26 @@ def test_toxicity_reads_long_runs_whole(spark):
     assert right >= 0.9 * len(rows)
 
 
+def test_toxicity_fits_on_long_texts(spark):
+    texts = [(k, f"t{k} " * (6000 if k % 5 == 0 else 20)) for k in range(60)] + [(60, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(61)], "doc_id long, toxic int")
+    train = {k: t or "" for k, t in texts if zlib.crc32(str(k).encode()) % 3 != 1}
+    whole = toxicity._sample(docs, labels, 1000, 10_000_000)
+    assert {d: t for d, _, t in whole} == train and len(whole) == len(train)
+    bounded = {d: t for d, _, t in toxicity._sample(docs, labels, 1000, 60_000)}
+    assert bounded.keys() == train.keys() and sum(map(len, bounded.values())) <= 61_000
+    assert all(bounded[d] == t for d, t in train.items() if d % 5) and all(len(bounded[d]) > 1000 for d in train if d % 5 == 0 and d < 60)
+    assert len(toxicity._sample(docs, labels, 5, 10_000_000)) == 10
+    assert toxicity._level([5, 1, 9], 12) == 6 and toxicity._level([5, 1, 9], 15) == 9
+
+
+def test_toxicity_windows_hold_any_twenty_words():
+    for n in (20, 40, 41, 61, 200, 1003):
+        starts = toxicity._windows(n)
+        assert all(any(s <= p and p + 20 <= s + toxicity.WIDTH for s in starts) for p in range(n - 19)), n
+
+
 def test_chat_links_calls(spark):
     call = lambda *calls: json.dumps({"tool_calls": [dict(zip(("id", "name", "arguments", "depends_on"), c)) for c in calls]})
     turns = [
