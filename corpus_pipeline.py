@@ -45,7 +45,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Compression, minhashes and the tokenizer can't be told in SQL; tests compare the stages with plain versions.
+#: Compression, minhashes and the tokenizer can't be told in SQL; the stages' operators are tested alone, no test covers the pipeline yet.
 ORACLE_SQL = None
 
 
