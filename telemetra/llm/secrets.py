@@ -2,9 +2,11 @@
 
 Fixed patterns give base spans. Beyond them, a token of 16 or more key characters is a secret if a Markov model of
 random strings explains it better, per character, than one of ordinary identifiers. Both models are counts of
-character pairs over the whole corpus: random strings are the values of base spans of kinds assign and access,
-ordinary identifiers are the other tokens of eight or more letters, digits and joiners; so no list of words and
-no capped sample is needed. Only DataFrame functions are used.
+character pairs over the whole corpus, so no list of words and no capped sample is needed. The labelled samples of
+random strings are the values of base spans of kinds assign and access; those of ordinary identifiers are all tokens
+of eight or more key characters that hold no base value and are too short for a key or without digits. Each model is
+mixed with the uniform one, the first by half, because labelled values of one alphabet (say hexadecimal) must not
+make those of another unlikely. Only DataFrame functions are used.
 
 Defined results: null and empty texts have no spans; offsets are code points, ends are exclusive; spans of one
 kind never overlap, and spans of the method never overlap a base span; whole texts are read; repeated rows get
@@ -27,11 +29,15 @@ ASSIGN_HEAD = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KEY_LIKE = r"[A-Za-z0-9+/_=-]{16,}"
-IDENTIFIER = r"[A-Za-z][A-Za-z0-9_-]{7,}"
+IDENTIFIER = r"[A-Za-z0-9+/_.=-]{8,}"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
-#: Least log-likelihood ratio per character pair, in nats.
-MARGIN = 0.5
+#: Shares of the uniform model in that of random strings and in that of identifiers.
+MIX_RANDOM, MIX_PLAIN = 0.5, 0.01
+#: Pairs that the single characters' model counts for in that of pairs.
+BACK_OFF = 5.0
+#: Least log-likelihood ratio per character pair, in nats. See the README for how planted keys and corpus words lie around it.
+MARGIN = 1.0
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -65,21 +71,28 @@ def base(docs: DataFrame) -> DataFrame:
 
 def weights(found: DataFrame) -> list[float] | None:
     """Log ratio of the two models for each pair of ALPHABET, row by row; None without labelled values."""
-    keys = F.transform(F.filter("assign", lambda m: ~m["value"].rlike(r"\s")), lambda m: F.regexp_replace(m["value"], ASSIGN_HEAD, ""))
+    keys = F.transform("assign", lambda m: F.regexp_replace(m["value"], ASSIGN_HEAD, ""))
     random = found.select(F.explode(F.concat(keys, F.transform("access", lambda m: m["value"]))).alias("value"))
-    plain = found.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("value")).where(~F.col("value").rlike("[0-9]"))
+    labelled = F.concat(keys, F.transform(F.concat("access", "hex"), lambda m: m["value"]))
+    tokens = F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))
+    plain = found.select(F.explode(F.filter(tokens, lambda t: ((F.length(t) < 16) | ~t.rlike("[0-9]")) & ~F.exists(labelled, lambda v: F.contains(t, v)))).alias("value"))
     counts = _pairs(random).withColumn("kind", F.lit(1)).unionByName(_pairs(plain).withColumn("kind", F.lit(0)))
     size = len(ALPHABET)
-    both = [[[0.5] * size for _ in range(size)] for _ in range(2)]
+    seen = [[[0] * size for _ in range(size)] for _ in range(2)]
     place = {c: k for k, c in enumerate(ALPHABET)}
-    some = False
     for r in counts.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=.-]{2}$")).collect():  # at most two rows for each pair of ALPHABET
-        both[r.kind][place[r.pair[0]]][place[r.pair[1]]] += r.n
-        some |= r.kind == 1
-    if not some:
+        seen[r.kind][place[r.pair[0]]][place[r.pair[1]]] += r.n
+    if not any(map(sum, seen[1])):
         return None
-    total = [[sum(row) for row in m] for m in both]
-    return [math.log(both[1][a][b] / total[1][a]) - math.log(both[0][a][b] / total[0][a]) for a in range(size) for b in range(size)]
+
+    alone = [[sum(row[b] for row in m) / max(sum(map(sum, m)), 1) for b in range(size)] for m in seen]
+
+    def chance(kind: int, a: int, b: int) -> float:
+        """Of b after a: pairs, with single characters where pairs are few, mixed with the uniform model."""
+        mix = (MIX_PLAIN, MIX_RANDOM)[kind]
+        return mix / size + (1 - mix) * (seen[kind][a][b] + BACK_OFF * alone[kind][b]) / (sum(seen[kind][a]) + BACK_OFF)
+
+    return [math.log(chance(1, a, b) / chance(0, a, b)) for a in range(size) for b in range(size)]
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -201,6 +201,29 @@ def test_secrets_odd(spark):
     assert secrets.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_secrets_model_finds_planted_keys(spark):
+    import random
+    import string
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["ta", "men", "scho", "lich", "er", "on", "vi"]) for _ in range(rng.randint(2, 9)))
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    docs, planted = [], {}
+    for k in range(400):
+        said = " ".join(word() for _ in range(60))
+        if k % 4 == 0:
+            said += f" token = '{key('0123456789abcdef', 40)}' "
+        if k % 4 == 1:
+            said += " "
+            planted[k] = (len(said), len(said) + 32)
+            said += key(string.ascii_letters + string.digits, 32) + " " + word()
+        docs.append((k, said))
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("model")] for r in secrets.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    hits = sum(got[k] == [f"model:{a}:{b}"] for k, (a, b) in planted.items())
+    assert hits >= 0.98 * len(planted)
+    assert sum(map(len, got.values())) <= hits + 1  # words of up to 36 letters are left alone
+
+
 @needs_data
 def test_secrets_documents(documents):
     check_secrets(documents)
