@@ -5,10 +5,17 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch that a Python worker turns into Python objects at a time; only a longer single row exceeds it.
+PART_BYTES = 2_000_000
+#: Characters of each passage that a text over the level gives to a sample.
+PASSAGE = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` under `sf_dir`, read by Spark so that any supported store works."""
@@ -16,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master without it gets a temporary one."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="telemetra-")
         sc.setCheckpointDir(found)
     return found
@@ -50,25 +59,53 @@ def fold(doc_id: Column, folds: int = 3) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, max_chars: int) -> list[tuple[int, int, str]]:
-    """(doc_id, label, text) of training rows: at most `per_class` of each class, in order of a hash of the id.
-
-    Rows of hold-out fold 1 and rows without that label are never taken; texts over `max_chars` are left out,
-    so what the driver receives is bounded by 2 * per_class * max_chars characters. Null texts count as empty.
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about PART_BYTES, so that a worker's memory doesn't grow with Arrow's batches."""
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        step, at = max(1, n * PART_BYTES // max(batch.nbytes, 1)), 0
+        while at < n:
+            part = batch.slice(at, step)
+            while len(part) > 1 and part.nbytes > 2 * PART_BYTES:
+                part = part.slice(0, len(part) // 2)
+            at += len(part)
+            yield part
+
+
+def level(lengths: list[int], total: int) -> int:
+    """The highest level at which lengths, each cut to it, keep to `total`: the longest one where all of them do."""
+    left = total
+    for k, n in enumerate(sorted(lengths)):
+        if n * (len(lengths) - k) > left:
+            return left // (len(lengths) - k)
+        left -= n
+    return max(lengths, default=0)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, total_chars: int) -> list[tuple[int, int, str]]:
+    """(doc_id, label, text) of training rows: at most `per_class` of each class, in order of a hash of the id, whatever their length.
+
+    Rows of hold-out fold 1 and rows without that label are never taken; null texts count as empty. Ids are chosen
+    first, from ids and lengths alone, and the few chosen ones are broadcast, so no text crosses a shuffle. Texts come
+    whole as long as all together have at most `total_chars` characters; otherwise those over a common level give
+    passages from all over.
     """
-    from pyspark.sql import Window
-
-    rows = (
-        labels.where(F.col(column).isin(0, 1) & (fold(F.col("doc_id")) != 1))
-        .select("doc_id", F.col(column).cast("int").alias("label"))
-        .join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_chars), "doc_id")
-    )
-    order = F.xxhash64("doc_id")
-    taken = None
-    for label in (0, 1):
-        part = rows.where(F.col("label") == label).orderBy(order, "doc_id").limit(per_class)
-        taken = part if taken is None else taken.unionByName(part)
-    return [(r.doc_id, r.label, r.text) for r in taken.collect()]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"h": F.xxhash64("text"), "n": F.length("text")})
+    rows = labels.where(F.col(column).isin(0, 1) & (fold(F.col("doc_id")) != 1)).select("doc_id", F.col(column).cast("int").alias("label"))
+    rows = rows.join(texts.drop("text"), "doc_id").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("h")]
+    taken = [tuple(r) for label in (0, 1) for r in rows.where(F.col("label") == label).select("doc_id", "h", "label", "n").orderBy(*order).limit(per_class).collect()]
+    if not taken:
+        return []
+    top = max(level([r[3] for r in taken], total_chars), PASSAGE)
+    many = top // PASSAGE
+    spread = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda k: F.substring("text", (k * (F.col("n") - PASSAGE) / max(many - 1, 1)).cast("int") + 1, F.lit(PASSAGE))))
+    keys = docs.sparkSession.createDataFrame([*{r[:2] for r in taken}], texts.select("doc_id", "h").schema)  # 2 * per_class rows at most
+    found = texts.join(F.broadcast(keys), ["doc_id", "h"]).select("doc_id", "h", F.when(F.col("n") <= top, F.col("text")).otherwise(spread).alias("text"))
+    said = {(r.doc_id, r.h): r.text for r in found.dropDuplicates(["doc_id", "h"]).collect()}
+    return [(d, label, said[d, h]) for d, h, label, _ in taken]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

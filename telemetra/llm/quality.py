@@ -17,11 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample
+from .common import fold, labelled_sample, parts
 
 PIECE_BYTES = 2048
 LEVEL = 3
@@ -89,11 +89,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_chars: int = 40_000, dict_bytes: int = 65_536) -> Model:
-    """Fit on at most `per_class` labelled rows of each class outside the hold-out fold, none over `max_chars`."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, total_chars: int = 16_000_000, dict_bytes: int = 65_536) -> Model:
+    """Fit on at most `per_class` labelled rows of each class outside the hold-out fold, of any length, see labelled_sample."""
     import zstandard as zstd
 
-    rows = labelled_sample(docs, labels, "quality", per_class, max_chars)
+    rows = labelled_sample(docs, labels, "quality", per_class, total_chars)
     mine = {0: [], 1: []}
     rest = []
     for doc_id, y, text in rows:
@@ -120,41 +120,42 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_chars: in
     return Model(good, bad, _logistic(x, y).tolist(), float(y.mean()))
 
 
+class _Scorer:
+    """Scores of texts, for one task."""
+
+    def __init__(self, model: Model):
+        self.model, self.measure = model, _Sizes(model.good, model.bad) if model.weights else None
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        if self.measure is None:
+            return np.full(len(texts), 0.5)
+        sizes = np.array([self.measure(t or "") for t in texts]).reshape(-1, 4)
+        s = 1 / (1 + np.exp(-np.clip(_features(sizes) @ np.array(self.model.weights), -30, 30)))
+        return np.where(sizes[:, 3] == 0, self.model.prior, s)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score): one row per row of `docs`; score is the chance that the text is good."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of dict_bytes at most
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        measure = _Sizes(m.good, m.bad) if m.weights else None
-        for batch in batches:
-            if measure is None:
-                yield pd.DataFrame({"doc_id": batch.doc_id, "score": 0.5})
-                continue
-            sizes = np.array([measure(t or "") for t in batch.text]).reshape(-1, 4)
-            s = 1 / (1 + np.exp(-np.clip(_features(sizes) @ np.array(m.weights), -30, 30)))
-            yield pd.DataFrame({"doc_id": batch.doc_id, "score": np.where(sizes[:, 3] == 0, m.prior, s)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for part in parts(batches):
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(scorer(part["text"].to_pylist()))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` whose text scores at least `threshold`, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = shared.value
-        measure = _Sizes(m.good, m.bad) if m.weights else None
-        for t in texts:
-            if measure is None:
-                yield pd.Series(np.full(len(t), 0.5))
-                continue
-            sizes = np.array([measure(x or "") for x in t]).reshape(-1, 4)
-            s = 1 / (1 + np.exp(-np.clip(_features(sizes) @ np.array(m.weights), -30, 30)))
-            yield pd.Series(np.where(sizes[:, 3] == 0, m.prior, s))
-
-    return docs.where(scored("text") >= threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for part in parts(batches):
+            yield part.filter(pa.array(scorer(part["text"].to_pylist()) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

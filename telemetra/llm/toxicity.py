@@ -21,11 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, labelled_sample, parts
 
 #: A stride of half the width: any 20 words in a row lie together in some window.
 WIDTH, STRIDE, HIDDEN, DIM = 40, 20, 8, 8
@@ -180,7 +180,7 @@ def _odds(docs: list[tuple[int, list[str]]]) -> dict[str, float]:
             ratio = np.log((k + 0.5) / (n[1] + 1)) - np.log((seen[0][word] + 0.5) / (n[0] + 1))
             if ratio > 0.5:
                 out[word] = float(min(ratio, 4.0))
-    return dict(sorted(out.items(), key=lambda x: -x[1])[:20_000])
+    return out
 
 
 class _Inputs:
@@ -248,45 +248,9 @@ def _best(texts: list[list[str]], model: Model, inputs: _Inputs) -> tuple[np.nda
     return top, where, count
 
 
-#: Characters of each passage that a text over the level gives to the sample.
-PASSAGE = 1000
-
-
-def _level(lengths: list[int], total: int) -> int:
-    """The highest level at which lengths, each cut to it, keep to `total`: the longest one where all of them do."""
-    left = total
-    for k, n in enumerate(sorted(lengths)):
-        if n * (len(lengths) - k) > left:
-            return left // (len(lengths) - k)
-        left -= n
-    return max(lengths, default=0)
-
-
-def _sample(docs: DataFrame, labels: DataFrame, per_class: int, total: int) -> list[tuple[int, int, str]]:
-    """(doc_id, label, text) of training rows: at most `per_class` of each class, in order of a hash of the id, whatever their length.
-
-    Rows of hold-out fold 1 and rows without a label are never taken; null texts count as empty. Texts come whole as
-    long as all together have at most `total` characters. Otherwise those over a common level give passages from all over.
-    """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"h": F.xxhash64("text"), "n": F.length("text")})
-    rows = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 1)).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    rows = rows.join(texts.drop("text"), "doc_id")  # texts themselves are never shuffled
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("h")]
-    taken = [tuple(r) for label in (0, 1) for r in rows.where(F.col("label") == label).select("doc_id", "h", "label", "n").orderBy(*order).limit(per_class).collect()]
-    if not taken:
-        return []
-    level = max(_level([r[3] for r in taken], total), PASSAGE)
-    parts = level // PASSAGE
-    spread = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.substring("text", (k * (F.col("n") - PASSAGE) / max(parts - 1, 1)).cast("int") + 1, F.lit(PASSAGE))))
-    keys = docs.sparkSession.createDataFrame([*{r[:2] for r in taken}], texts.select("doc_id", "h").schema)
-    found = texts.join(F.broadcast(keys), ["doc_id", "h"]).select("doc_id", "h", F.when(F.col("n") <= level, F.col("text")).otherwise(spread).alias("text"))
-    said = {(r.doc_id, r.h): r.text for r in found.dropDuplicates(["doc_id", "h"]).collect()}
-    return [(d, label, said[d, h]) for d, h, label, _ in taken]
-
-
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, total_chars: int = 16_000_000, steps: int = 300, seed: int = 7) -> Model:
-    """Fit on at most `per_class` labelled rows of each class outside the hold-out fold, of any length, see _sample."""
-    rows = [(zlib.crc32(f"half {d}".encode()) & 1, y, _words(t)) for d, y, t in _sample(docs, labels, per_class, total_chars)]
+    """Fit on at most `per_class` labelled rows of each class outside the hold-out fold, of any length, see labelled_sample."""
+    rows = [(zlib.crc32(f"half {d}".encode()) & 1, y, _words(t)) for d, y, t in labelled_sample(docs, labels, "toxic", per_class, total_chars)]
     rows = [r for r in rows if r[2]]
     y = np.array([r[1] for r in rows], np.float32)
     if min((y == 1).sum(), (y == 0).sum()) < 8:
@@ -352,24 +316,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, total_chars:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score), one row per row of `docs`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # some 300 kB of weights and 20,000 word weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # some 300 kB of weights, and weights of words of the bounded sample
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         inputs = _Inputs(m) if m.curve else None
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                s = np.full(len(part), m.prior)
-                if inputs is not None:
-                    words = [_words(t) for t in part.text]
-                    some = [k for k, x in enumerate(words) if x]
-                    if some:
-                        top, _, count = _best([words[k] for k in some], m, inputs)
-                        s[some] = _sigmoid(np.column_stack([top, np.log(count), np.ones(len(top))]) @ np.array(m.curve))
-                yield pd.DataFrame({"doc_id": part.doc_id, "score": s})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+        for part in parts(batches):
+            s = np.full(len(part), m.prior)
+            if inputs is not None:
+                words = [_words(t) for t in part["text"].to_pylist()]
+                some = [k for k, x in enumerate(words) if x]
+                if some:
+                    top, _, count = _best([words[k] for k in some], m, inputs)
+                    s[some] = _sigmoid(np.column_stack([top, np.log(count), np.ones(len(top))]) @ np.array(m.curve))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(s)], ["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

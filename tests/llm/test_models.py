@@ -6,7 +6,8 @@ import zlib
 
 import numpy as np
 
-from telemetra.llm import chat, html, packing, toxicity
+from telemetra.llm import chat, html, packing, quality, toxicity
+from telemetra.llm.common import labelled_sample, level
 
 
 def test_word_ids_equal_the_tokenizer():
@@ -86,13 +87,13 @@ def test_toxicity_fits_on_long_texts(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(61)], "doc_id long, toxic int")
     train = {k: t or "" for k, t in texts if zlib.crc32(str(k).encode()) % 3 != 1}
-    whole = toxicity._sample(docs, labels, 1000, 10_000_000)
+    whole = labelled_sample(docs, labels, "toxic", 1000, 10_000_000)
     assert {d: t for d, _, t in whole} == train and len(whole) == len(train)
-    bounded = {d: t for d, _, t in toxicity._sample(docs, labels, 1000, 60_000)}
+    bounded = {d: t for d, _, t in labelled_sample(docs, labels, "toxic", 1000, 60_000)}
     assert bounded.keys() == train.keys() and sum(map(len, bounded.values())) <= 61_000
     assert all(bounded[d] == t for d, t in train.items() if d % 5) and all(len(bounded[d]) > 1000 for d in train if d % 5 == 0 and d < 60)
-    assert len(toxicity._sample(docs, labels, 5, 10_000_000)) == 10
-    assert toxicity._level([5, 1, 9], 12) == 6 and toxicity._level([5, 1, 9], 15) == 9
+    assert len(labelled_sample(docs, labels, "toxic", 5, 10_000_000)) == 10
+    assert level([5, 1, 9], 12) == 6 and level([5, 1, 9], 15) == 9
 
 
 def test_toxicity_windows_hold_any_twenty_words():
