@@ -1,4 +1,4 @@
-"""Putting streams of different clocks on one grid. Each works within an episode, a key of bounded length."""
+"""Putting streams of different clocks on one grid. Each works within an episode and streams through its sorted rows."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ def _merged(grid: DataFrame, samples: DataFrame, key: str, t: str, value: str) -
 def neighbours(grid: DataFrame, samples: DataFrame, key: str, t: str, value: str) -> DataFrame:
     """`grid` with before and after: the last sample at or before each row, the first at or after it, as (t, v).
 
-    One shuffle and one sort serve both directions. Several samples of one time count as their greatest value.
+    One shuffle serves both directions, each with its sort. Several samples of one time count as their greatest value.
     """
     w = Window.partitionBy(key).orderBy(t, "_grid")
     back = Window.partitionBy(key).orderBy(F.col(t).desc(), "_grid")
@@ -37,9 +37,11 @@ def binarised(x: Column, at: float = 0.5) -> Column:
 
 
 def held(grid: DataFrame, samples: DataFrame, key: str, t: str, value: str, period: int) -> DataFrame:
-    """The last sample with time at most half a period after each grid row."""
+    """The last sample with time at most half a period after each grid row, or else the first one."""
     shifted = samples.select(key, (F.col(t) - period // 2).alias(t), value)
-    return neighbours(grid, shifted, key, t, value).withColumn(value, F.col("before.v")).drop("before", "after")
+    near = neighbours(grid, shifted, key, t, value)
+    pick = F.coalesce(F.col("before"), F.col("after"))  # where none is before, the next one is the first
+    return near.withColumns({value: pick["v"], "residual": F.abs(pick["t"] + period // 2 - F.col(t))}).drop("before", "after")
 
 
 def nearest(grid: DataFrame, samples: DataFrame, key: str, t: str, value: str) -> DataFrame:
@@ -57,7 +59,56 @@ def overlap(samples: DataFrame, group: str, stream: str, t: str) -> DataFrame:
     return ends.groupBy(group).agg(F.max("lo").alias("t_start"), F.min("hi").alias("t_end")).where("t_start <= t_end")
 
 
+def within(samples: DataFrame, group: str, stream: str, t: str) -> DataFrame:
+    """The samples in the time that all streams of their group cover, both ends included."""
+    return samples.join(overlap(samples, group, stream, t), group).where(F.col(t).between(F.col("t_start"), F.col("t_end"))).drop("t_start", "t_end")
+
+
+def drops(samples: DataFrame, group: str, stream: str, t: str, period: int) -> DataFrame:
+    """(group, stream, n, dropped, longest): frames missing between neighbours, in all and in a row."""
+    step = F.col(t) - F.lag(t).over(Window.partitionBy(group, stream).orderBy(t))
+    missing = F.coalesce(F.greatest(F.rint(step / period) - 1, F.lit(0.0)).cast("long"), F.lit(0))
+    return samples.withColumn("_m", missing).groupBy(group, stream).agg(F.count("*").alias("n"), F.sum("_m").alias("dropped"), F.max("_m").alias("longest"))
+
+
+def residuals(aligned: DataFrame, key: str, period: int, run: int) -> DataFrame:
+    """(key, median, worst, ok) of `residual`; ok where the worst is at most run + 1 periods."""
+    out = aligned.groupBy(key).agg(F.percentile("residual", 0.5).alias("median"), F.max("residual").alias("worst"))
+    return out.withColumn("ok", F.col("worst") <= (run + 1) * period)
+
+
+def ticks(frames: DataFrame, marks: DataFrame, key: str, t: str) -> DataFrame:
+    """`frames` with ticks: how many marks of the episode have a time not after theirs, by running counts."""
+    both = frames.select("*", F.lit(1).alias("_frame")).unionByName(marks.select(key, t, F.lit(0).alias("_frame")), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(t, "_frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("ticks", F.sum(1 - F.col("_frame")).over(w)).where("_frame = 1").drop("_frame")
+
+
+def proportional(frames: DataFrame, samples: DataFrame, key: str, index: str, value: str) -> DataFrame:
+    """Each frame with the sample at the same share of its episode, by position alone: no times are compared."""
+    n = samples.groupBy(key).agg(F.count("*").alias("_n"))
+    last = frames.groupBy(key).agg(F.count("*").alias("_m"))
+    at = F.least(F.floor(F.col(index) * F.col("_n") / F.col("_m")), F.col("_n") - 1)
+    placed = frames.join(n, key).join(last, key).withColumn("_at", at)
+    return placed.join(samples.select(key, F.col(index).alias("_at"), value), [key, "_at"], "left").drop("_n", "_m", "_at")
+
+
+def clocked(frames: DataFrame, group: str, stream: str, t: str, epoch: int, starts: DataFrame | None = None) -> DataFrame:
+    """`t` of all streams of a group on one clock, with `clock`: wall, started, own or mixed (t null).
+
+    A stream is on the wall clock if its first time is over `epoch`. Others are moved to their start in `starts` (group,
+    stream, start) where all streams of the group have one; a group without wall clocks and starts counts from each first frame.
+    """
+    first = frames.groupBy(group, stream).agg(F.min(t).alias("_first"))
+    first = first.join(starts, [group, stream], "left") if starts is not None else first.withColumn("start", F.lit(None).cast("long"))
+    both = first.groupBy(group).agg(F.bool_and(F.col("_first") > epoch).alias("_wall"), F.bool_or(F.col("_first") > epoch).alias("_some"), F.bool_and(F.col("start").isNotNull()).alias("_known"))
+    out = frames.join(first, [group, stream]).join(both, group)
+    clock = F.when(F.col("_wall"), "wall").when(F.col("_known"), "started").when(~F.col("_some"), "own").otherwise("mixed")
+    moved = F.when(F.col("clock") == "own", F.col(t) - F.col("_first")).when((F.col("clock") == "started") & (F.col("_first") <= epoch), F.col(t) - F.col("_first") + F.col("start")).when(F.col("clock") != "mixed", F.col(t))
+    return out.withColumn("clock", clock).withColumn(t, moved).drop("_first", "start", "_wall", "_some", "_known")
+
+
 def filled(rows: DataFrame, key: str, order: list[str], value: str, fallback: Column) -> DataFrame:
-    """`value` carried forward over nulls; before its first, the fallback."""
+    """`value` carried forward over nulls; before its first, the fallback of that row."""
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn(value, F.coalesce(F.last(value, True).over(w), fallback))

@@ -1,23 +1,58 @@
-"""Statistics and reports; all are aggregations with partial sums, so no group is gathered."""
+"""Statistics and reports. All but `moments` on small groups are sums of partial sums, so no group is gathered."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERCENTS = (1, 2, 5, 95, 98, 99)
+#: Parts that `percentiles` cuts a group's range of values into.
+BUCKETS = 64
 
 
 def moments(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, mean, std (of a sample), min and max, and exact percentiles."""
+    """count, mean, std (of a sample), min and max, and exact percentiles, of groups whose distinct values fit in a task."""
     out = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
-    return rows.groupBy(*by).agg(*out, *[F.percentile(value, p / 100).alias(f"p{p:02d}") for p in PERCENTS])
+    found = rows.groupBy(*by).agg(*out, F.percentile(value, F.array(*[F.lit(p / 100) for p in PERCENTS])).alias("_p"))
+    return found.select("*", *[F.col("_p")[k].alias(f"p{p:02d}") for k, p in enumerate(PERCENTS)]).drop("_p")
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, percents: tuple[float, ...] = PERCENTS) -> DataFrame:
+    """(by, percent, value): exact percentiles, linear between neighbours, of groups of any size.
+
+    Equal values are counted first. Approximate percentiles then only cut each group's range into BUCKETS parts; counts
+    by part tell in which one each order statistic lies and how many are before it, and just those parts are numbered.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [k / BUCKETS for k in range(1, BUCKETS)], 1000).alias("_cuts"))
+    parts = counts.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    group = Window.partitionBy(*by)
+    totals = parts.groupBy(*by, "_part").agg(F.sum("_c").alias("_n")).withColumns({"_before": F.sum("_n").over(group.orderBy("_part")) - F.col("_n"), "_all": F.sum("_n").over(group)})
+    at = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("percent"), ((F.col("_all") - 1) * p / 100).alias("at")) for p in percents]))
+    places = totals.withColumn("_t", at).select("*", "_t.*").drop("_t").withColumn("_r", F.explode(F.array(F.floor("at"), F.ceil("at"))))
+    places = places.where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_n"))).distinct()
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy(value))
+    numbered = parts.join(places.select(*by, "_part").distinct(), [*by, "_part"], "left_semi").withColumn("_upto", upto)
+    found = numbered.join(places, [*by, "_part"]).where((F.col("_r") < F.col("_before") + F.col("_upto")) & (F.col("_r") >= F.col("_before") + F.col("_upto") - F.col("_c")))
+    ends = found.groupBy(*by, "percent", "at").agg(F.min_by(value, "_r").alias("_lo"), F.max_by(value, "_r").alias("_hi"))
+    return ends.select(*by, "percent", (F.col("_lo") + (F.col("at") - F.floor("at")) * (F.col("_hi") - F.col("_lo"))).alias(value))
 
 
 def combined(parts: DataFrame, by: list[str]) -> DataFrame:
-    """Moments of a union from those of its parts (n, mean, std)."""
-    means = parts.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.sum(F.coalesce("std", F.lit(0.0)) ** 2 * (F.col("n") - 1)).alias("_in"), F.sum(F.col("n") * F.col("mean") ** 2).alias("_sq"))
-    return means.select(*by, "n", "mean", F.sqrt((F.col("_in") + F.col("_sq") - F.col("n") * F.col("mean") ** 2) / (F.col("n") - 1)).alias("std"))
+    """Moments of a union from those of its parts (n, mean, std): squares are summed about the common mean, so large means lose nothing."""
+    means = parts.where("n > 0").groupBy(*by).agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    both = parts.where("n > 0").join(means, by) if by else parts.where("n > 0").crossJoin(means)  # one row
+    about = F.coalesce("std", F.lit(0.0)) ** 2 * (F.col("n") - 1) + F.col("n") * (F.col("mean") - F.col("_mean")) ** 2
+    sums = both.groupBy(*by, "_n", "_mean").agg(F.sum(about).alias("_m2"))
+    return sums.select(*by, F.col("_n").alias("n"), F.col("_mean").alias("mean"), F.sqrt(F.col("_m2") / F.greatest(F.col("_n") - 1, F.lit(1))).alias("std"))
+
+
+def sampled(rows: DataFrame, by: list[str], order: list[Column], size: int) -> DataFrame:
+    """At most `size` rows of each group, by an order that stands for chance, such as a hash of the id: the same ones each time."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("_place", place).where(F.col("_place") <= size).drop("_place")
 
 
 def counted(dimension: DataFrame, facts: DataFrame, on: str, kind: str, kinds: list[str]) -> DataFrame:
@@ -27,39 +62,128 @@ def counted(dimension: DataFrame, facts: DataFrame, on: str, kind: str, kinds: l
     return out.fillna(0, subset=["total", *kinds])
 
 
+def counted_sets(facts: DataFrame, dimensions: list[str], kind: str, kinds: list[str]) -> DataFrame:
+    """(dimension, value, total, kinds...): counts by each of several dimensions, in one pass over the facts."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions]))
+    return facts.select(pairs.alias("p"), kind).groupBy("p.dimension", "p.value").agg(F.count("*").alias("total"), *[F.count_if(F.col(kind) == k).alias(k) for k in kinds])
+
+
+def cell(v: Column, lo: float, hi: float, k: int, reverse: bool = False) -> Column:
+    """The one of `k` equal cells from `lo` to `hi` that a value lies in, from 0; null outside, the far edge included in that."""
+    at = F.floor((F.lit(hi) - v if reverse else v - F.lit(lo)) / (hi - lo) * k)
+    return F.when((at >= 0) & (at < k), at).cast("int")
+
+
 def coverage(rows: DataFrame, x: str, y: str, box: tuple[float, float, float, float], cells: tuple[int, int]) -> DataFrame:
-    """(cx, cy, n) for every cell of the box, empty ones too, and one row with null cells for what lies outside."""
+    """(cx, cy, n) for every cell of the box, empty ones too, and one row with null cells for what lies outside; cy counts from high y."""
     x0, x1, y0, y1 = box
-    inside = F.col(x).between(x0, x1) & F.col(y).between(y0, y1)
-    cell = lambda v, lo, hi, k: F.when(inside, F.least(F.floor((F.col(v) - lo) / (hi - lo) * k), F.lit(k - 1)).cast("int"))
-    found = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cell(x, x0, x1, cells[0]).alias("cx"), cell(y, y0, y1, cells[1]).alias("cy")).agg(F.count("*").alias("n"))
+    cx, cy = cell(F.col(x), x0, x1, cells[0]), cell(F.col(y), y0, y1, cells[1], True)
+    inside = cx.isNotNull() & cy.isNotNull()
+    known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    found = known.groupBy(F.when(inside, cx).alias("cx"), F.when(inside, cy).alias("cy")).agg(F.count("*").alias("n"))
     every = rows.sparkSession.range(cells[0] * cells[1]).select((F.col("id") % cells[0]).cast("int").alias("cx"), F.floor(F.col("id") / cells[0]).cast("int").alias("cy"))
     every = every.unionByName(rows.sparkSession.sql("select cast(null as int) cx, cast(null as int) cy"))
     same = F.col("e.cx").eqNullSafe(F.col("f.cx")) & F.col("e.cy").eqNullSafe(F.col("f.cy"))
     return every.alias("e").join(found.alias("f"), same, "left").select("e.cx", "e.cy", F.coalesce("f.n", F.lit(0)).alias("n"))
 
 
-def first_match(text: Column, rules: list[tuple[str, str]], other: str) -> Column:
+def coverage_bins(rows: DataFrame, y: str, lo: float, hi: float, cells: int) -> DataFrame:
+    """(cell, n) of one axis, counted from the high end: every cell, and one row with a null cell for what lies outside."""
+    found = rows.where(F.col(y).isNotNull()).groupBy(cell(F.col(y), lo, hi, cells, True).alias("cell")).agg(F.count("*").alias("n"))
+    every = rows.sparkSession.range(cells).select(F.col("id").cast("int").alias("cell")).unionByName(rows.sparkSession.sql("select cast(null as int) cell"))
+    return every.alias("e").join(found.alias("f"), F.col("e.cell").eqNullSafe(F.col("f.cell")), "left").select("e.cell", F.coalesce("f.n", F.lit(0)).alias("n"))
+
+
+def first_match(text: Column, rules: list[tuple[str, str]], other: str | Column) -> Column:
     """The kind of the first rule whose words the text holds."""
-    out = F.lit(other)
+    out = F.lit(other) if isinstance(other, str) else other
     for words, kind in reversed(rules):
         out = F.when(F.contains(text, F.lit(words)), kind).otherwise(out)
     return out
 
 
+def flags(rows: DataFrame, reasons: str, good: Column, rules: list[tuple[str, str]]) -> DataFrame:
+    """(kind, episodes, successes): rows with at least one reason of a kind; a reason of no rule is its own kind."""
+    kinds = F.explode(F.array_distinct(F.transform(F.col(reasons), lambda r: first_match(r, rules, r))))
+    return rows.select(kinds.alias("kind"), good.alias("_good")).groupBy("kind").agg(F.count("*").alias("episodes"), F.count_if("_good").alias("successes"))
+
+
+def outliers(rows: DataFrame, by: list[str], order: list[str], value: str, least: int = 5, low: float = 0.5, high: float = 1.8) -> DataFrame:
+    """`rows` with others (the median of the other rows of its group) and outlier; null where fewer than `least` others are.
+
+    The median without a row lies at one or two of three order statistics of the group, so one sorted pass finds them
+    and no row is compared with all others.
+    """
+    known = rows.where(F.col(value).isNotNull())
+    w = Window.partitionBy(*by).orderBy(value, *order)
+    ranked = known.withColumns({"_r": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(*by))})
+    h = F.floor(F.col("_n") / 2)  # without a row, each later one moves up by a place
+    stats = ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_r") == h + i, F.col(value))).alias(f"_m{i}") for i in range(3)])
+    joined = ranked.join(stats, by) if by else ranked.crossJoin(stats)  # one row
+    lower = F.when(h < F.col("_r"), F.col("_m0")).otherwise(F.col("_m1"))
+    upper = F.when(F.col("_n") % 2 == 0, lower).when(h + 1 < F.col("_r"), F.col("_m1")).otherwise(F.col("_m2"))
+    others = F.when(F.col("_n") > least, (lower + upper) / 2)
+    out = joined.withColumn("others", others).withColumn("outlier", ~F.col(value).between(low * F.col("others"), high * F.col("others")))
+    return out.drop("_r", "_n", "_m0", "_m1", "_m2")
+
+
+def headline(rows: DataFrame, label: str, seconds: str, flagged: Column, at: str) -> DataFrame:
+    """One row: counts by label, minutes and median of the successes, success rate, the first time, passes and checked."""
+    good = F.col(label) == "success"
+    kinds = [F.count_if(good).alias("success"), F.count_if(F.col(label) == "failure").alias("failure"), F.count_if(~F.coalesce(F.col(label).isin("success", "failure"), F.lit(False))).alias("unlabelled")]
+    long = F.when(good & (F.col(seconds) > 0), F.col(seconds))
+    out = rows.agg(F.count("*").alias("total"), *kinds, (F.sum(long) / 60).alias("minutes"), F.percentile(long, 0.5).alias("median_s"), F.min(long).alias("min_s"), F.max(long).alias("max_s"), F.min(at).alias("first"), F.count_if(good & ~flagged).alias("passed"))
+    return out.withColumn("rate", F.col("success") / F.nullif(F.col("success") + F.col("failure"), F.lit(0)))
+
+
+def plane(rows: DataFrame, by: list[str], x: str, y: str, z: str) -> DataFrame:
+    """(by, a, b, c, n, rms): the least-squares plane z = a x + b y + c of each group, from sums about the means."""
+    s = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(v).alias(f"_m{v}") for v in (x, y, z)], *[F.covar_pop(p, q).alias(f"_{p}{q}") for p, q in ((x, x), (y, y), (z, z), (x, y), (x, z), (y, z))])
+    det = F.nullif(F.col(f"_{x}{x}") * F.col(f"_{y}{y}") - F.col(f"_{x}{y}") ** 2, F.lit(0.0))
+    a = (F.col(f"_{x}{z}") * F.col(f"_{y}{y}") - F.col(f"_{y}{z}") * F.col(f"_{x}{y}")) / det
+    b = (F.col(f"_{y}{z}") * F.col(f"_{x}{x}") - F.col(f"_{x}{z}") * F.col(f"_{x}{y}")) / det
+    s = s.withColumns({"a": a, "b": b})
+    c = F.col(f"_m{z}") - F.col("a") * F.col(f"_m{x}") - F.col("b") * F.col(f"_m{y}")
+    rms = F.sqrt(F.greatest(F.col(f"_{z}{z}") - F.col("a") * F.col(f"_{x}{z}") - F.col("b") * F.col(f"_{y}{z}"), F.lit(0.0)))
+    return s.select(*by, "a", "b", c.alias("c"), "n", rms.alias("rms"))
+
+
+def by_dimension(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
+    """(by, dim, n, lowest, highest, range, top): ranges of each place of an array, and its greatest size."""
+    out = rows.select(*by, F.posexplode(vector).alias("dim", "v")).groupBy(*by, "dim").agg(F.count("v").alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"), F.max(F.abs("v")).alias("top"))
+    return out.withColumn("range", F.col("highest") - F.col("lowest"))
+
+
 def later_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row for each key: the last in order, by a partial aggregate."""
     rest = [c for c in rows.columns if c not in key]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
 
 
+def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row for each key: the first in order, by a partial aggregate."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with _k, their place in the whole order, from 0.
+
+    Keys are dealt into ranges by a fixed hash-free rule, the cuts of approximate percentiles of the first order column;
+    ranges are counted, and rows numbered within their range, so no task sorts everything and a repeated stage gives the same numbers.
+    """
+    cuts = rows.agg(F.percentile_approx(order[0], [k / 256 for k in range(1, 256)], 10_000).alias("_cuts"))
+    parts = rows.crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col(order[0])))).drop("_cuts")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # 256 rows at most
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.join(F.broadcast(sizes), "_part").withColumn("_k", F.col("_before") + within).drop("_part", "_before")
+
+
 def sharded(rows: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Rows with shard and place: `size` to a shard in order; numbered by sorted partition, not in one task."""
-    placed = rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    n = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    from pyspark.sql import Window
-
-    before = n.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
-    out = placed.join(F.broadcast(before), part == F.col("_part")).withColumn("_k", F.col("_m").bitwiseAND((1 << 33) - 1) + F.col("_before"))
-    return out.withColumns({"shard": F.floor(F.col("_k") / size), "place": F.col("_k") % size}).drop("_m", "_part", "_before", "_k")
+    """Rows with shard and place: `size` to a shard in order."""
+    return numbered(rows, order).withColumns({"shard": F.floor(F.col("_k") / size), "place": F.col("_k") % size}).drop("_k")
+
+
+def record_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): rows of each table."""
+    return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()))
