@@ -1 +1 @@
-"""See the modules of this package."""
+"""Reading recordings, calibrations, logs and listings as DataFrames."""
