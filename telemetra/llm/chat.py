@@ -1,7 +1,7 @@
 """Chat records with linked tool calls.
 
-An assistant turn whose text is a JSON object with `tool_calls` makes calls (id, name, arguments, depends_on); a turn
-of role tool whose text has a `tool_call_id` is a result. Calls and results meet in a hash join on conversation and
+An assistant turn whose text is a JSON object with `tool_calls` makes calls (id, depends_on, and name and arguments,
+alone or within `function`); a turn of role tool whose text has a `tool_call_id` is a result. Calls and results meet in a hash join on conversation and
 identifier; a call's level is the length of the longest chain of calls that it depends on, found by joins, level
 by level; all is written as canonical JSON (sorted keys, no spaces, no escapes beyond JSON's own). A turn of role
 system or developer whose text is a JSON object with `tools` defines tools: name and `parameters` (or `input_schema`),
@@ -9,9 +9,9 @@ alone or within `function`. Calls meet the definitions of their conversation in
 arguments are checked against the definition in force at the call, the last one not after its turn.
 
 Defined results: a turn that isn't JSON is a plain message; null roles and texts stay null in the JSON; calls
-without a result, results without a call, repeated identifiers (each call meets each result) and dependencies
-that don't exist or go round (level null) are reported, never dropped; arguments that aren't JSON have false `valid`;
-tools without a schema, and schemas that are broken or use keywords in `_UNAPPLIED`, have null `valid`; one row
+without a result, results without a call and dependencies that don't exist or go round (level null) are reported, never
+dropped; the k-th call with an identifier meets the k-th result with it, by turn, so a repeated one makes no more rows
+than turns; arguments that aren't JSON, or are nested too deep to be read, have false `valid`; tools without a schema, and schemas that are broken or use keywords in `_UNAPPLIED`, have null `valid`; texts of any length are read whole; other columns are ignored, whatever their names; an empty table is empty; one row
 per turn without calls and one per call, so no conversation is ever gathered in one place. What a turn says beside its
 calls makes one more row, a message with place -1: its `content`, other fields that it has (`fields`) and text after
 the JSON object (`after`).
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
+CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>,function:struct<name:string,arguments:string>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
 TOOLS = "struct<tools:array<struct<name:string,parameters:string,input_schema:string,function:struct<name:string,parameters:string>>>>"
 _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
@@ -38,6 +38,18 @@ _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool
 _LONE = re.compile("[\ud800-\udfff]")
 
 
+def _parsed(text: str):
+    """The value of a JSON text. Raises ValueError for anything that isn't JSON, NaN and infinities too."""
+
+    def refuse(name: str):
+        raise ValueError(name)
+
+    try:
+        return json.loads(text, parse_constant=refuse)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+
+
 def canonical(value) -> str:
     text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     return _LONE.sub(lambda x: f"\\u{ord(x[0]):04x}", text)
@@ -154,10 +166,14 @@ def _since():
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, level) of calls (conv_id, id, depends_on): 0 without dependencies, else one more than the highest of them."""
+    """(conv_id, id, level) of calls (conv_id, id, depends_on): 0 without dependencies, else one more than the highest of them.
+
+    Calls with the same identifier count as one with the dependencies of all.
+    """
     nodes = written(calls.select("conv_id", "id", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")), "calls")
     needs = written(nodes.select("conv_id", "id", F.explode("depends_on").alias("need")).distinct(), "needs")
-    done = written(nodes.where(F.size("depends_on") == 0).select("conv_id", "id", F.lit(0).alias("level")).distinct(), "done")
+    free = nodes.groupBy("conv_id", "id").agg(F.max(F.size("depends_on")).alias("most")).where("most = 0")
+    done = written(free.select("conv_id", "id", F.lit(0).alias("level")), "done")
     left = needs
     while not left.isEmpty():
         met = left.join(done.select("conv_id", F.col("id").alias("need"), "level"), ["conv_id", "need"], "left")
@@ -197,8 +213,13 @@ def linked(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFram
         return pd.Series([_beside(r, t) for r, t in zip(role, text)], dtype=object)
 
     said = rows.where("size(calls) > 0").select("conv_id", "turn", "role", F.explode(beside("role", "text")).alias("json"))
-    calling = rows.where("size(calls) > 0").select("conv_id", "turn", "role", F.posexplode("calls").alias("place", "c")).select("conv_id", "turn", "role", "place", "c.*")
+    calling = rows.where("size(calls) > 0").select("conv_id", "turn", "role", F.posexplode("calls").alias("place", "c"))
+    calling = calling.select("conv_id", "turn", "role", "place", "c.id", F.coalesce("c.name", "c.function.name").alias("name"), F.coalesce("c.arguments", "c.function.arguments").alias("arguments"), "c.depends_on")
+    turn_of = Window.partitionBy("conv_id", "id")
+    named = calling.where("id is not null").withColumn("nth", F.row_number().over(turn_of.orderBy("turn", "place")))
+    calling = named.unionByName(calling.where("id is null").withColumn("nth", F.lit(None).cast("int")))
     answers = rows.where("answer.tool_call_id is not null").select("conv_id", F.col("answer.tool_call_id").alias("id"), F.col("turn").alias("result_turn"), F.col("answer.content").alias("result"))
+    answers = answers.withColumn("nth", F.row_number().over(turn_of.orderBy("result_turn", "result")))
 
     @F.pandas_udf("valid boolean, json string")
     def told(name: pd.Series, schema: pd.Series, arguments: pd.Series, call_id: pd.Series, result: pd.Series, role: pd.Series, text: pd.Series) -> pd.DataFrame:
@@ -208,17 +229,18 @@ def linked(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFram
                 valid.append(None)
                 said.append(canonical({"role": who, "content": t}))
                 continue
+            made = lambda value: canonical({"role": who, "tool_call": {"id": i, "name": n, "arguments": value}, "result": r})  # noqa: E731, B023
             try:
-                value = json.loads(a) if a is not None else {}
+                value = _parsed(a) if a is not None else {}
+                said.append(made(value))
                 valid.append(_judged(value, schemas.get(n) if d is None else d))
-            except ValueError:
-                value = a
+            except (ValueError, RecursionError):
+                said.append(made(a))
                 valid.append(False)
-            said.append(canonical({"role": who, "tool_call": {"id": i, "name": n, "arguments": value}, "result": r}))
         return pd.DataFrame({"valid": pd.Series(valid, dtype="boolean"), "json": said})
 
     none = F.lit(None).cast("string")
-    calls = calling.join(answers, ["conv_id", "id"], "left").join(levels(calling), ["conv_id", "id"], "left")
+    calls = calling.join(answers, ["conv_id", "id", "nth"], "left").join(levels(calling), ["conv_id", "id"], "left")
     tools = defined(turns).withColumnsRenamed({"conv_id": "its_conv", "name": "its_name"})
     in_force = (F.col("conv_id") == F.col("its_conv")) & (F.col("name") == F.col("its_name")) & (F.col("since") <= _since()) & (F.col("until").isNull() | (_since() < F.col("until")))
     calls = calls.join(tools, in_force, "left")
@@ -237,4 +259,5 @@ def linked(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFram
 
 
 def digest(turns: DataFrame) -> DataFrame:
+    """The query's columns: those of `linked`, with the schemas that the conversations define."""
     return linked(turns)
