@@ -1,11 +1,11 @@
 """Removal of repeated runs of lines, by suffix ranks over line ids.
 
-A document is a sequence of line ids (64-bit hashes; a position is document and line number). Lines that occur
+A document is a sequence of line ids (a line's MD5; a position is document and line number). Lines that occur
 once can't be part of a repeat and are left out. Prefix doubling then ranks the runs of 1, 2, 4 ... lines that
 start at each position: the rank of 2k lines is the place of (rank here, rank k lines on) among the sorted
-distinct pairs, and positions whose run occurs once drop out, so rounds end with the longest repeat. Two suffixes
-share L lines (lie in one longest-common-prefix interval of at least L) exactly if their ranks for the greatest
-power of two within L agree at the start and at the end of those L lines. A repeated run that has `min_words`
+distinct pairs, and positions whose run occurs once drop out, so rounds end with the longest repeat. The suffixes of
+one longest-common-prefix interval of depth L are those whose ranks for the greatest power of two within L agree both
+at the start and at the end of their first L lines, so an interval is a group by two ranks, at any depth. A repeated run that has `min_words`
 words is the union of the shortest windows in it with that many words, seen from each of its lines forwards and
 backwards; every such window whose interval holds an earlier position is a later copy, and its lines go.
 
@@ -15,12 +15,12 @@ Defined results: lines split at newline and are compared exactly; order is by do
 text stays null and has no lines, empty text is one empty line; rows equal in doc_id and text count as one
 document and get the same result; texts without such repeats come back unchanged; an empty table is empty; of
 copies that overlap in one document the first window stays except for lines that are in a later one; other
-columns are carried.
+columns are carried, whatever their names, but n_lines and n_removed are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -39,13 +39,14 @@ def _numbered(pairs: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(before), part == F.col("part")).select("r1", "r2", (F.col("mono").bitwiseAND(low) + F.col("before")).alias("rank"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
+def _key() -> Column:
+    """Identifies a document by id and text."""
+    return F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
 
 
 def ranks(lines: DataFrame) -> list[DataFrame]:
     """From (key, line, r1) the tables (key, line, rank) of repeated runs of 1, 2, 4 ... lines."""
-    repeated = lines.groupBy("r1").agg(F.count("*").alias("c")).where("c > 1").select("r1", F.lit(0).alias("r2"))
+    repeated = lines.groupBy("r1").agg(F.count("*").alias("c")).where("c > 1").select("r1", F.lit(0).cast("long").alias("r2"))
     levels = [written(lines.join(_numbered(repeated), "r1").select("key", "line", "rank"), "level")]
     while True:
         now, step = levels[-1], 1 << (len(levels) - 1)
@@ -59,11 +60,11 @@ def ranks(lines: DataFrame) -> list[DataFrame]:
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, line): the lines that belong to later copies; key as `_keyed` gives it."""
-    keyed = _keyed(docs).where("text is not null").select(F.col("_key").alias("key"), F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "text").dropDuplicates(["key"])
+    """(key, line): the lines that belong to later copies; key as `_key` gives it."""
+    keyed = docs.where("text is not null").select(_key().alias("key"), F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), "text").dropDuplicates(["key"])
     split = keyed.select("key", "ord", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     words = F.size(F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    lines = written(split.select("key", "ord", "line", F.xxhash64("t").alias("r1"), words.cast("long").alias("words")), "lines")
+    lines = written(split.select("key", "ord", "line", F.unhex(F.md5("t")).alias("r1"), words.cast("long").alias("words")), "lines")
     levels = ranks(lines.select("key", "line", "r1"))
 
     # islands of neighbouring repeated lines, with running word counts
@@ -92,22 +93,24 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         tagged = of if tagged is None else tagged.unionByName(of)
     tagged = written(tagged.select("key", "ord", "s", "e", "n", "ra", "rb"), "tagged")
     place = F.struct("ord", "key", "s")
-    earliest = tagged.groupBy("n", "ra", "rb").agg(F.min(place).alias("at"), F.count("*").alias("c")).where("c > 1").drop("c")
+    # written, so that the join behind it can be split where an interval holds very many suffixes
+    earliest = written(tagged.groupBy("n", "ra", "rb").agg(F.min(place).alias("at"), F.count("*").alias("c")).where("c > 1").drop("c"), "earliest")
     later = tagged.join(earliest, ["n", "ra", "rb"]).where(place > F.col("at"))
     return later.select("key", F.explode(F.sequence("s", "e")).alias("line")).distinct()
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with text reduced to the lines that stay, and n_lines and n_removed added."""
-    gone = repeats(docs, min_words).groupBy(F.col("key").alias("_key")).agg(F.collect_set("line").alias("_gone"))
+    gone = repeats(docs, min_words).groupBy("key").agg(F.collect_set("line").alias("gone"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = _keyed(docs.select(*names)).join(gone, "_key", "left")
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", _key().alias("key")).join(gone, "key", "left")
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda t, i: ~F.array_contains("_gone", i))
+    kept = F.filter(parts, lambda t, i: ~F.array_contains("gone", i))
+    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
     return out.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept)).alias("text") if c == "text" else F.col(c) for c in names],
+        *[new.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
 
 

@@ -8,48 +8,61 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, embedding, html, lines, minhash, packing, quality, secrets, toxicity
 from .common import table
+from .oracles import ORACLES
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in training sequences of 2048 tokens."""
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical JSON of every turn and call, with linked results, levels and validity."""
     return chat.digest(table(spark, sf_dir, "conversations"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return html.digest(table(spark, sf_dir, "pages"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of repeated runs of lines."""
     return lines.digest(table(spark, sf_dir, "documents"))
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9."""
     return embedding.digest(table(spark, sf_dir, "embeddings"))
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that every document overlaps."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at similarity 0.85 of 3-word shingles."""
     return minhash.digest(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_formatting": op2_chat_formatting,
@@ -62,6 +75,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-
-#: DuckDB SQL where SQL can express the operator; the others are tested against brute force or held-out accuracy.
-ORACLES: dict[str, str] = {}
