@@ -93,20 +93,23 @@ def test_minhash_documents(documents):
 
 
 def brute_lines(rows, min_words):
+    """Lines of every maximal run of `min_words` words or more that occurs at an earlier place, by extending all pairs of equal lines."""
     docs = sorted({(d if d is not None else 1 << 62, t) for d, t in rows if t is not None})
-    seen, gone = set(), defaultdict(set)
-    split = {k: t.split("\n") for k, (_, t) in enumerate(docs)}
-    for k in split:
-        body = split[k]
-        size = [len(x.encode().split()) for x in body]
-        cut = {(s, e) for s in range(len(body)) for e in [next((e for e in range(s, len(body)) if sum(size[s : e + 1]) >= min_words), None)] if e is not None}
-        cut |= {(s, e) for e in range(len(body)) for s in [next((s for s in range(e, -1, -1) if sum(size[s : e + 1]) >= min_words), None)] if s is not None}
-        for s, e in sorted(cut):
-            run = tuple(body[s : e + 1])
-            if run in seen:
-                gone[k].update(range(s, e + 1))
-            seen.add(run)
-    return {docs[k]: "\n".join(x for i, x in enumerate(split[k]) if i not in gone[k]) for k in split}
+    split = [t.split("\n") for _, t in docs]
+    size = [np.concatenate([[0], np.cumsum([len(x.encode().split()) for x in body])]) for body in split]
+    places, gone = defaultdict(list), defaultdict(set)
+    for k, body in enumerate(split):
+        for p, line in enumerate(body):
+            longest = 0
+            for j, q in places[line]:
+                n = 1
+                while p + n < len(body) and q + n < len(split[j]) and body[p + n] == split[j][q + n]:
+                    n += 1
+                longest = max(longest, n)
+            places[line].append((k, p))
+            if longest and size[k][p + longest] - size[k][p] >= min_words:
+                gone[k].update(range(p, p + longest))
+    return {docs[k]: "\n".join(x for i, x in enumerate(split[k]) if i not in gone[k]) for k in range(len(split))}
 
 
 def check_lines(docs):
@@ -243,3 +246,37 @@ def test_decontamination(spark):
     kept = decontaminate.clean(d, items)
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
     assert decontaminate.clean(d, items.limit(0)).count() == 8
+    assert decontaminate.overlaps(d.limit(0), items).count() == 0
+
+
+def brute_shares(docs, items):
+    """Best agreement of each document and item over all alignments."""
+    out = {}
+    for d, text in docs:
+        a = decontaminate.tokens(text)
+        for i, said in items:
+            b = decontaminate.tokens(said)
+            out[d, i] = max((decontaminate.agreement(a, b, s) for s in range(-len(b), len(a) + 1)), default=0.0)
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_HASHES, 0])
+def test_decontamination_under_substitutions(spark, monkeypatch, broadcast):
+    """Recall against all alignments, with the hashes broadcast to the join and not."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", broadcast)
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijk"), 5))
+    noise = lambda n: [word() for _ in range(n)]
+    items = [(k, noise(int(rng.integers(12, 60)))) for k in range(30)]
+    docs = []
+    for k in range(300):
+        part = items[k % 30][1]
+        rate = (0.0, 0.05, 0.1, 0.15, 0.2, 0.3)[k % 6]
+        docs.append((k, " ".join(noise(int(rng.integers(0, 80))) + [word() if rng.random() < rate else w for w in part] + noise(int(rng.integers(0, 80))))))
+    docs += [(300, " ".join(noise(3000) + items[3][1] * 40)), (301, items[3][1][0]), (302, "")]
+    items = [(k, " ".join(w)) for k, w in items] + [(100, ""), (101, "a b c")]
+    want = {k for k, v in brute_shares(docs, items).items() if v >= decontaminate.SHARE}
+    found = decontaminate.hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    ids = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", decontaminate._key())
+    got = {(r.doc_id, r.item_id) for r in found.join(ids, "key").collect()}
+    assert got <= want and len(got) >= 0.97 * len(want)

@@ -1,10 +1,13 @@
 """Word ids against the whole tokenizer, gradients against differences, chat and page fixtures with known answers."""
 
 import json
+import os
 import random
+import time
 import zlib
 
 import numpy as np
+import pytest
 
 from telemetra.llm import chat, html, packing, quality, toxicity
 from telemetra.llm.common import labelled_sample, level
@@ -165,6 +168,63 @@ def test_chat_keeps_what_is_said_beside_calls(spark):
     }
 
 
+def plain_links(turns):
+    """Calls of (conv_id, turn, role, text) by loops: (conv_id, id, place) -> (result, level)."""
+    calls, answers = {}, {}
+    for conv, turn, role, text in sorted(turns, key=lambda x: x[:2]):
+        said = json.loads(text) if text and text.startswith("{") else {}
+        for place, c in enumerate(said.get("tool_calls", []) if role == "assistant" else []):
+            calls.setdefault((conv, c["id"]), []).append((turn, place, c.get("depends_on") or []))
+        if role == "tool" and "tool_call_id" in said:
+            answers.setdefault((conv, said["tool_call_id"]), []).append(said["content"])
+
+    def level(conv, i, seen=()):
+        if i in seen or (conv, i) not in calls:
+            return None
+        needs = [level(conv, d, (*seen, i)) for _, _, ds in calls[conv, i] for d in ds]
+        return None if None in needs else max(needs, default=-1) + 1
+
+    return {(conv, i, turn, place): ((answers.get((conv, i), []) + [None] * 99)[k], level(conv, i)) for (conv, i), made in calls.items() for k, (turn, place, _) in enumerate(made)}
+
+
+def test_chat_against_loops(spark):
+    rng = random.Random(8)
+    turns = []
+    for conv in range(60):
+        for turn in range(rng.randint(1, 8)):
+            kind = rng.random()
+            if kind < 0.5:
+                made = [{"id": f"c{rng.randrange(12)}", "name": "f", "arguments": json.dumps({"x": rng.random()})} for _ in range(rng.randint(1, 4))]
+                for c in made:
+                    n = int(c["id"][1:])
+                    if n and rng.random() < 0.6:
+                        c["depends_on"] = [f"c{rng.randrange(n if rng.random() < 0.9 else 14)}" for _ in range(rng.randint(1, 3))]
+                turns.append((conv, turn, "assistant", json.dumps({"tool_calls": made})))
+            elif kind < 0.9:
+                turns.append((conv, turn, "tool", json.dumps({"tool_call_id": f"c{rng.randrange(12)}", "content": str(turn)})))
+            else:
+                turns.append((conv, turn, "user", "hi"))
+    want = plain_links(turns)
+    rows = [r for r in chat.digest(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect() if r.kind == "call"]
+    got = {(r.conv_id, r.call_id, r.turn, r.place): (json.loads(r.json)["result"], r.level) for r in rows}
+    assert len(rows) == len(got) and got == want
+
+
+def test_chat_odd(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    form = {"id": "a", "type": "function", "function": {"name": "f", "arguments": '{"x":1}'}}
+    calls = [form, {"id": "b", "name": "g", "arguments": deep}, {"id": "c", "name": "g", "arguments": '{"x":NaN}'}, {"id": "d", "name": "g", "arguments": {"y": 2}}, {"id": None, "name": "g", "arguments": "{}"}]
+    turns = [(1, 0, "assistant", json.dumps({"tool_calls": calls})), (1, 0, "assistant", "x" * 300_000), (None, None, None, None), (2, 0, "user", "")]
+    table = spark.createDataFrame([(*t, "z", 1) for t in turns], "conv_id long, turn long, role string, text string, nth string, place int")
+    rows = chat.digest(table).collect()
+    got = {r.call_id: r for r in rows if r.kind == "call"}
+    assert {k: r.valid for k, r in got.items()} == {"a": None, "b": False, "c": False, "d": None, "": None}
+    assert json.loads(got["a"].json)["tool_call"] == {"id": "a", "name": "f", "arguments": {"x": 1}}
+    assert json.loads(got["d"].json)["tool_call"]["arguments"] == {"y": 2} and json.loads(got["b"].json)["tool_call"]["arguments"] == deep
+    assert max(len(r.json) for r in rows if r.kind == "message") > 300_000 and len(rows) == 8
+    assert chat.digest(table.limit(0)).count() == 0
+
+
 PAGE = """<html><head><title>t</title><script>var a = "<p>x</p>";</script></head><body><div class="nav"><a href="/">Home</a></div>
 <div class="post-{n}"><h1>Title {n}</h1><p>First &amp; long   paragraph number {n} with <b>bold</b> words that go on for a while, as articles do.</p>
 <p>Second one, also of some length, so that the container is worth more than anything else here.</p></div>
@@ -178,3 +238,71 @@ def test_html_extraction(spark):
         want = f"Title {k}\nFirst & long paragraph number {k} with bold words that go on for a while, as articles do.\nSecond one, also of some length, so that the container is worth more than anything else here."
         assert got[k].text == want and got[k].n_chars == len(want)
     assert got[9].text == got[10].text == "" and got[11].text == "open tags"
+
+
+def test_html_broken_markup_and_names():
+    said = lambda page: html.chosen(html.blocks(page), None)
+    assert said("<body><p title=it's>one</p><p>two's</p>") == "one\ntwo's"
+    assert said('<body><div data-id="share"><p>three</p></div><p class="share-price">four</p>') == "three\nfour"
+    assert said('<body><div class="content has-sidebar no-comments"><p>five</p></div><div class="post-comments">six</div>') == "five"
+    assert said('<p>a<a href="x>y">b</a> c &lt;d&gt; < e') == "ab c <d> < e"
+    assert said("<div class='share'><p>" + "all of the page " * 9 + "</p></div>").startswith("all of")
+    assert said(None) == said("") == said("<script>x</script>") == ""
+    began = time.time()
+    assert said("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
+    assert said("<p " * 50_000) != "" and time.time() - began < 5
+
+
+def test_html_two_templates_and_small_containers(spark, monkeypatch):
+    body = lambda n: "".join(f"<p>Sentence {k} of page {n}, which is long enough to be taken for the text of an article.</p>" for k in range(4))
+    first = "<body><div class=story>{}</div><div class=box>short words</div></body>"
+    second = "<body><div class=story>tiny</div><section class=entry>{}</section></body>"
+    rows = [(k, "http://h/x", (first if k % 2 else second).format(body(k)), "w", "e") for k in range(20)] + [(20, None, None, "w", "e"), (20, None, None, "w", "e"), (21, "http://h/y", "<p>" + "word " * 200_000, "w", "e")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, paths string")
+    small = {r.page_id: r.text for r in html.digest(pages).collect()}
+    for k in range(20):
+        assert small[k].count("\n") == 3 and f"of page {k}," in small[k] and "tiny" not in small[k] and "short" not in small[k]
+    assert small[20] == "" and len(small[21]) == 999_999
+    monkeypatch.setattr(html, "BROADCAST_HOSTS", 0)
+    assert {r.page_id: r.text for r in html.digest(pages).collect()} == small and html.digest(pages).count() == 23
+    assert html.digest(pages.limit(0)).count() == 0
+
+
+SF = "/root/testdata/sf0.1"
+needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not here")
+
+
+def auc(pairs):
+    ranked = sorted(pairs)
+    places = [k for k, (_, y) in enumerate(ranked) if y]
+    n = len(places)
+    return (sum(places) - n * (n - 1) / 2) / (n * (len(ranked) - n))
+
+
+@needs_data
+@pytest.mark.parametrize("name, column, at", [("quality", "quality", 0.95), ("toxicity", "toxic", 0.95)])
+def test_held_out_accuracy(spark, name, column, at):
+    """Held-out rows of sf0.1: the order of the scores, and precision and recall at the contract's threshold."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    made = {"quality": quality, "toxicity": toxicity}[name].digest(docs, labels).where("held_out")
+    rows = made.join(labels.where(f"{column} is not null").select("doc_id", column), "doc_id").collect()
+    assert auc([(r.score, r[column]) for r in rows]) >= at
+    hit = sum(r.predicted and r[column] for r in rows)
+    assert hit >= 0.8 * sum(r.predicted for r in rows) and hit >= 0.75 * sum(r[column] for r in rows)
+
+
+def test_quality_odd(spark):
+    good = lambda k: " ".join(f"Clear sentence {k} about rivers and towns, number {j}." for j in range(12))
+    bad = lambda k: " ".join(f"$$$ buy {k} click %%% {j}" for j in range(12))
+    rows = [(k, good(k) if k % 2 else bad(k), "x", 0.5) for k in range(200)] + [(500, None, "x", 0.5), (501, "", "x", 0.5), (502, good(1) * 2000, "x", 0.5), (502, good(1) * 2000, "x", 0.5), (None, bad(3), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, predicted double")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    got = quality.digest(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    by = {r.doc_id: r for r in got}
+    assert all(by[k].predicted == k % 2 for k in range(200)) and by[500].score == by[501].score and by[502].predicted == 1 and by[None].predicted == 0
+    model = quality.fit(docs, labels)
+    kept = quality.keep_good(docs, model)
+    assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} >= {1, 3, 199, 502}
+    assert [r.score for r in quality.digest(docs.limit(3), labels.limit(0)).collect()] == [0.5] * 3
+    assert quality.digest(docs.limit(0), labels).count() == 0 and quality.keep_good(docs.limit(0), model).count() == 0
