@@ -18,11 +18,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import written
+from .common import bound_batches, parts, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -106,25 +107,23 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
     path = tokenizer or tokenizer_path()
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _WORKER.setdefault(path, _WordIds(path))
         get = store.__getitem__
-        for batch in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(batch.doc_id, batch.text):
+        for part in parts(batches):
+            of, piece, start, length, out = [], [], [], [], []
+            for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
                 words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
                 ids = b"".join(map(get, words)) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, part))
-                held += len(ids)
-                if held > 16_000_000:
-                    yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
-                    rows, held = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    out.append(ids[at : at + 4 * capacity])
+                    of.append(doc_id)
+                    piece.append(k)
+                    start.append(at // 4)
+                    length.append(len(out[-1]) // 4)
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -168,35 +167,44 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """`pieces` (with a `length` of 1 to `capacity`) with sequence_id and offset added."""
+    """`pieces` (with a `length` of 1 to `capacity`) with sequence_id and offset added.
+
+    Ranks within a length are counted per task, then shifted by the counts of the tasks before; both the counts and the
+    runs of slots are small tables (at most `capacity` rows a task, and a few runs a length), so a length that a third
+    of all pieces have makes no hot task.
+    """
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset")
-    names = pieces.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    bound_batches(spark)
+    pieces = written(pieces.drop("sequence_id", "offset"), "cut")  # not in one stage with the numbering: a second Python worker a task
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        for batch in batches:
-            lengths = batch["length"].to_numpy()
-            within = batch.groupby("length").cumcount().to_numpy()
-            yield batch.assign(_task=task, _rank=seen[lengths] + within)
+        for part in parts(batches):
+            lengths = part["length"].to_numpy(zero_copy_only=False)
+            order = np.argsort(lengths, kind="stable")
+            sorted_ = lengths[order]
+            first = np.searchsorted(sorted_, sorted_)
+            rank = np.empty(len(lengths), np.int64)
+            rank[order] = seen[sorted_] + np.arange(len(sorted_)) - first
             seen += np.bincount(lengths, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays([part["row"], part["length"], pa.array(np.full(len(lengths), task, np.int32)), pa.array(rank)], ["row", "length", "task", "rank"])
 
-    numbered = written(pieces.mapInPandas(number, schema + ", _task int, _rank long"), "pieces")
-    counts = numbered.groupBy("length", "_task").agg(F.count("*").alias("n"))
+    rows = pieces.select(F.struct("*").alias("row"), F.col("length").cast("long").alias("length"))
+    numbered = written(rows.mapInArrow(number, StructType([*rows.schema.fields, StructField("task", IntegerType()), StructField("rank", LongType())])), "pieces")
+    counts = numbered.groupBy("length", "task").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs = plan(histogram, capacity)
     slots = spark.createDataFrame(runs or [(1, 0, 0, 0, 0, 1)], "length long, rank_from long, rank_to long, sequence_from long, run_offset long, per_sequence long")
     if len(runs) <= BROADCAST_RUNS:
         slots = F.broadcast(slots)
-    before = counts.selectExpr("length", "_task", "sum(n) over (partition by length order by _task rows between unbounded preceding and current row) - n as _before")
-    ranked = numbered.join(before, ["length", "_task"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    placed = ranked.join(slots, "length").where("_rank >= rank_from and _rank < rank_to")
-    at = F.col("_rank") - F.col("rank_from")
+    before = counts.selectExpr("length", "task", "sum(n) over (partition by length order by task rows between unbounded preceding and current row) - n as before")
+    ranked = numbered.join(before, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before"))
+    placed = ranked.join(slots, "length").where("rank >= rank_from and rank < rank_to")
+    at = F.col("rank") - F.col("rank_from")
     return placed.select(
-        *names,
+        "row.*",
         (F.col("sequence_from") + F.floor(at / F.col("per_sequence"))).cast("long").alias("sequence_id"),
         (F.col("run_offset") + at % F.col("per_sequence") * F.col("length")).cast("long").alias("offset"),
     )
