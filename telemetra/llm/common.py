@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch between Spark and Python, of which each task holds several outside the heap; Spark's own bound is 64 MB.
+BATCH_BYTES = 4 << 20
 #: Bytes of an Arrow batch that a Python worker turns into Python objects at a time; only a longer single row exceeds it.
 PART_BYTES = 2_000_000
 #: Characters of each passage that a text over the level gives to a sample.
@@ -34,12 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by BATCH_BYTES for this session, unless it has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") == "67108864b":
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read again: cuts lineage and outlives lost executors.
 
     The table is removed when the driver ends, because lazy results may still read it until then.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
@@ -92,6 +102,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     whole as long as all together have at most `total_chars` characters; otherwise those over a common level give
     passages from all over.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"h": F.xxhash64("text"), "n": F.length("text")})
     rows = labels.where(F.col(column).isin(0, 1) & (fold(F.col("doc_id")) != 1)).select("doc_id", F.col(column).cast("int").alias("label"))
     rows = rows.join(texts.drop("text"), "doc_id").distinct()
