@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import secrets
+
 #: Components of the pairs p(x, y), given in both directions, over the ids n(id): id and the smallest id reachable.
 _REACHED = "r(id, to_id) as (select id, id from n union select r.id, p.y from r join p on r.to_id = p.x), g as (select id, min(to_id) as component_id from r group by id)"
 
@@ -35,8 +37,37 @@ select documents.doc_id, coalesce(len(parts), 0)::bigint as n_lines, coalesce(le
 case when gone is null then documents.text else array_to_string([parts[k] for k in range(1, len(parts) + 1) if not list_contains(gone, k)], chr(10)) end as text
 from documents left join d on documents.doc_id = d.doc_id left join gone on gone.doc_id = documents.doc_id"""
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_PATTERNS = ", ".join(f"({_quoted(kind)}, {order}, {_quoted(pattern)})" for order, (kind, pattern) in enumerate([("assign", secrets.ASSIGN), ("access", secrets.ACCESS), ("hex", secrets.HEX), ("model", secrets.KEY_LIKE)]))
+
+#: Spans by what lies between matches; both Markov models and the ratio of each candidate, from counts of pairs.
+SECRETS = f"""with d as (select doc_id, coalesce(text, '') as text from documents),
+k as (select doc_id, kind, ord, regexp_extract_all(text, p) as v, [length(x) for x in regexp_split_to_array(text, p)] as g from d, (values {_PATTERNS}) as t(kind, ord, p)),
+s as (select doc_id, kind, ord, v[i] as val, (list_sum(g[1:i]) + coalesce(list_sum([length(x) for x in v[1:i - 1]]), 0))::bigint as a from (select *, unnest(range(1, len(v) + 1)) as i from k)),
+found as (select *, a + length(val) as z, regexp_replace(val, {_quoted(secrets.ASSIGN_HEAD)}, '') as own from s),
+base as (select * from found where ord < 3 and (kind <> 'assign' or length(own) >= 12)),
+labelled as (select doc_id, case when kind = 'assign' then own else val end as val, kind from base),
+tokens as (select doc_id, unnest(regexp_extract_all(text, {_quoted(secrets.IDENTIFIER)})) as t from d),
+plain as (select t from tokens x where (length(t) < 16 or not regexp_matches(t, '[0-9]')) and not exists (select 1 from labelled l where l.doc_id = x.doc_id and contains(x.t, l.val))),
+pairs as (select 1 as m, val[i] as a, val[i + 1] as b from (select val, unnest(range(1, length(val))) as i from labelled where kind <> 'hex') union all select 0, t[i], t[i + 1] from (select t, unnest(range(1, length(t))) as i from plain)),
+c as (select unnest(str_split('{secrets.ALPHABET}', '')) as c), n as (select m, a, b, count(*) as n from pairs semi join c on pairs.a = c.c where b in (select c from c) group by all),
+r as (select m, a, sum(n) as n from n group by all), u as (select m, b, sum(n) / (select sum(n) from n y where y.m = n.m) as u from n group by m, b),
+q as (select t.m, x.c as a, y.c as b, mix / {len(secrets.ALPHABET)} + (1 - mix) * (coalesce(n.n, 0) + {secrets.BACK_OFF} * coalesce(u.u, 0)) / (coalesce(r.n, 0) + {secrets.BACK_OFF}) as p
+  from (values (0, {secrets.MIX_PLAIN}), (1, {secrets.MIX_RANDOM})) as t(m, mix), c x, c y left join n on n.m = t.m and n.a = x.c and n.b = y.c left join r on r.m = t.m and r.a = x.c left join u on u.m = t.m and u.b = y.c),
+w as (select g.a, g.b, round(ln(g.p / h.p), 5) as w from q g join q h on g.a = h.a and g.b = h.b and g.m = 1 and h.m = 0),
+free as (select * from found f where ord = 3 and exists (select 1 from n where m = 1) and not exists (select 1 from base b where b.doc_id = f.doc_id and f.a < b.z and b.a < f.z)),
+told as (select doc_id, f.a, z, sum(w) / (length(any_value(val)) - 1) as llr from (select doc_id, a, z, val, unnest(range(1, length(val))) as i from free) f join w on w.a = f.val[i] and w.b = f.val[i + 1] group by doc_id, f.a, z),
+spans as (select doc_id, kind, ord, a, z from base union all select doc_id, 'model', 3, a, z from told where llr >= {secrets.MARGIN})
+select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+sha256(coalesce(string_agg(kind || ':' || a || ':' || z, ',' order by a, ord) filter (ord < 3), '')) as base_sha256, coalesce(string_agg(kind || ':' || a || ':' || z, ',' order by a, ord), '') as spans
+from d left join spans on spans.doc_id = d.doc_id group by d.doc_id"""
+
 ORACLES: dict[str, str] = {
     "op5_line_dedup": LINES,
     "op6_embedding_near_dedup": EMBEDDINGS,
+    "op7_secret_scans": SECRETS,
     "op10_minhash_near_dedup": DOCUMENTS,
 }

@@ -5,10 +5,13 @@ import os
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from telemetra.llm import decontaminate, embedding, lines, minhash, secrets
+from telemetra.llm.queries import ORACLES
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not here")
@@ -221,7 +224,11 @@ def test_secrets_model_finds_planted_keys(spark):
             planted[k] = (len(said), len(said) + 32)
             said += key(string.ascii_letters + string.digits, 32) + " " + word()
         docs.append((k, said))
-    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("model")] for r in secrets.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    rows = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    assert rows == dict(con.execute(f"select doc_id, spans from ({ORACLES['op7_secret_scans']})").fetchall())
+    got = {k: [s for s in v.split(",") if s.startswith("model")] for k, v in rows.items()}
     hits = sum(got[k] == [f"model:{a}:{b}"] for k, (a, b) in planted.items())
     assert hits >= 0.98 * len(planted)
     assert sum(map(len, got.values())) <= hits + 1  # words of up to 36 letters are left alone
