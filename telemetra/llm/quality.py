@@ -89,7 +89,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, total_chars: int = 16_000_000, dict_bytes: int = 65_536) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, total_chars: int = 6_000_000, dict_bytes: int = 65_536) -> Model:
     """Fit on at most `per_class` labelled rows of each class outside the hold-out fold, of any length, see labelled_sample."""
     import zstandard as zstd
 
