@@ -124,10 +124,10 @@ def coverage_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.coverage_bins(table(spark, sf_dir, "supplier"), "s_acctbal", -1000, 7000, 5)
 
 
-@register(f"select a.id, median(b.price) as others, not a.price between 0.5 * median(b.price) and 1.8 * median(b.price) as outlier from {DEMOS} a join {DEMOS} b on a.teacher_id = b.teacher_id and a.id <> b.id group by a.id, a.price having count(*) >= 5 union all select a.id, null, null from {DEMOS} a where (select count(*) from {DEMOS} b where b.teacher_id = a.teacher_id) <= 5")
+@register(f"select a.id, round(median(b.price), 4) as others, not a.price between 0.5 * median(b.price) and 1.8 * median(b.price) as outlier from {DEMOS} a join {DEMOS} b on a.teacher_id = b.teacher_id and a.id <> b.id group by a.id, a.price having count(*) >= 5 union all select a.id, null, null from {DEMOS} a where (select count(*) from {DEMOS} b where b.teacher_id = a.teacher_id) <= 5")
 def duration_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demonstrations far from the median of their teacher's others."""
-    return summaries.outliers(demos(spark, sf_dir), ["teacher_id"], ["id"], "price").select("id", "others", "outlier")
+    return summaries.outliers(demos(spark, sf_dir), ["teacher_id"], ["id"], "price").select("id", F.round("others", 4).alias("others"), "outlier")
 
 
 #: Fixed values of this query: boxes, thresholds and texts.
@@ -174,10 +174,10 @@ def flag_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.flags(_checked(spark, sf_dir), "reasons", F.col("p_partkey") % 2 == 0, _KINDS)
 
 
-@register(f"select count(*) as total, count_if(status = 'success') as success, count_if(status = 'failure') as failure, count_if(status = 'pending') as unlabelled, round(sum(price) filter (status = 'success') / 60, 4) as minutes, median(price) filter (status = 'success') as median_s, min(price) filter (status = 'success') as min_s, max(price) filter (status = 'success') as max_s, min(created_at) as first, count_if(status = 'success' and not converted) as passed, round(count_if(status = 'success') / count_if(status in ('success', 'failure')), 9) as rate from {DEMOS}")
+@register(f"select count(*) as total, count_if(status = 'success') as success, count_if(status = 'failure') as failure, count_if(status = 'pending') as unlabelled, round(sum(price) filter (status = 'success') / 60, 4) as minutes, round(median(price) filter (status = 'success'), 4) as median_s, min(price) filter (status = 'success') as min_s, max(price) filter (status = 'success') as max_s, min(created_at) as first, count_if(status = 'success' and not converted) as passed, round(count_if(status = 'success') / count_if(status in ('success', 'failure')), 9) as rate from {DEMOS}")
 def headline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = summaries.headline(demos(spark, sf_dir), "status", "price", F.col("converted"), "created_at")
-    return h.withColumns({"minutes": F.round("minutes", 4), "rate": F.round("rate", 9)})
+    return h.withColumns({"minutes": F.round("minutes", 4), "median_s": F.round("median_s", 4), "rate": F.round("rate", 9)})
 
 
 @register(f"select teacher_id, status, count(*) as n, min(price) as lowest, max(price) as highest, string_agg(distinct (path % 10)::varchar, ',' order by (path % 10)::varchar) as paths from {DEMOS} group by all")

@@ -257,14 +257,14 @@ def late_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", F.size(records.after_latency(chunk, F.col("value"), 7.5)).alias("left_over"))
 
 
-@register(f"with d as (select event_type, t - lag(t) over (partition by event_type, user_id order by t, event_id) d, t from {EVENTS}) select event_type, count(d) as n, quantile_cont(d, 0.5) as p50, quantile_cont(d, 0.99) as p99, max(d) as longest, round(count(d) / (sum(d) / 1e6), 9) as hz from d group by all")
+@register(f"with d as (select event_type, t - lag(t) over (partition by event_type, user_id order by t, event_id) d, t from {EVENTS}) select event_type, count(d) as n, round(quantile_cont(d, 0.5), 2) as p50, round(quantile_cont(d, 0.99), 2) as p99, max(d) as longest, round(count(d) / (sum(d) / 1e6), 9) as hz from d group by all")
 def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, p99 and longest step of each kind of event, and the rate reached."""
     from pyspark.sql import Window
 
     step = F.col("t") - F.lag("t").over(Window.partitionBy("event_type", "user_id").orderBy("t", "event_id"))
     d = events(spark, sf_dir).withColumn("d", step)
-    p = summaries.percentiles(d, ["event_type"], "d", (50, 99)).groupBy("event_type").agg(F.max(F.when(F.col("percent") == 50, F.col("d"))).alias("p50"), F.max(F.when(F.col("percent") == 99, F.col("d"))).alias("p99"))
+    p = summaries.percentiles(d, ["event_type"], "d", (50, 99)).groupBy("event_type").agg(*[F.round(F.max(F.when(F.col("percent") == p, F.col("d"))), 2).alias(f"p{p}") for p in (50, 99)])
     return d.groupBy("event_type").agg(F.count("d").alias("n"), F.max("d").alias("longest"), F.round(F.count("d") / (F.sum("d") / 1e6), 9).alias("hz")).join(p, "event_type")
 
 
