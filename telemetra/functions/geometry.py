@@ -26,8 +26,13 @@ def cross(a: list[Column], b: list[Column]) -> list[Column]:
     return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
 
 
+def product(a: list[Column] | Column, b: list[Column] | Column, n: int) -> list[Column]:
+    """The numbers of the product of two n x n matrices, each given as an array or as its numbers."""
+    return [_sum([a[i * n + k] * b[k * n + j] for k in range(n)]) for i in range(n) for j in range(n)]
+
+
 def matmul(a: Column, b: Column, n: int = 4) -> Column:
-    return F.array(*[_sum([a[i * n + k] * b[k * n + j] for k in range(n)]) for i in range(n) for j in range(n)])
+    return F.array(*product(a, b, n))
 
 
 def rotation(t: Column) -> Column:
@@ -157,23 +162,23 @@ def orbit(p: list[Column], p0: list[Column], pivot: tuple[float, float, float])
 
 def about_pivot(t: Column, yaw: Column, pivot: tuple[float, float, float]) -> Column:
     """The pose t turned by `yaw` radians about the vertical through a pivot."""
-    turn = yaw_pose(yaw, F.lit(0.0), F.lit(0.0), F.lit(0.0))
-    place = transformed(turn, *[t[i * 4 + 3] - pivot[i] for i in range(3)])
-    rot = matmul(rotation(turn), rotation(t), 3)
-    return pose([rot[k] for k in range(9)], [place[i] + pivot[i] for i in range(3)])
+    c, s, o, i = F.cos(yaw), F.sin(yaw), F.lit(0.0), F.lit(1.0)
+    turn = [c, -s, o, s, c, o, o, o, i]
+    arm = [t[k * 4 + 3] - pivot[k] for k in range(3)]
+    return pose(product(turn, [t[r * 4 + j] for r in range(3) for j in range(3)], 3), [dot(turn[3 * k : 3 * k + 3], arm) + pivot[k] for k in range(3)])
 
 
-def euler_xyz(roll: Column, pitch: Column, yaw: Column) -> Column:
+def euler_xyz(roll: Column, pitch: Column, yaw: Column) -> list[Column]:
     """9 numbers of the rotation about x, then y, then z of fixed axes."""
     (ca, sa), (cb, sb), (cc, sc) = ((F.cos(v), F.sin(v)) for v in (roll, pitch, yaw))
-    return F.array(cc * cb, cc * sb * sa - sc * ca, cc * sb * ca + sc * sa, sc * cb, sc * sb * sa + cc * ca, sc * sb * ca - cc * sa, -sb, cb * sa, cb * ca)
+    return [cc * cb, cc * sb * sa - sc * ca, cc * sb * ca + sc * sa, sc * cb, sc * sb * sa + cc * ca, sc * sb * ca - cc * sa, -sb, cb * sa, cb * ca]
 
 
 def nudged(t: Column, push: list[Column], turn: list[Column], speed: float, spin: float) -> Column:
     """The pose t moved by a six-axis device: its y goes to x, its x to -y, its z to z; roll, pitch and minus yaw turn about fixed axes."""
     x, y, z = push
-    rot = matmul(euler_xyz(turn[0] * spin, turn[1] * spin, -turn[2] * spin), rotation(t), 3)
-    return pose([rot[k] for k in range(9)], [t[3] + y * speed, t[7] - x * speed, t[11] + z * speed])
+    rot = product(euler_xyz(turn[0] * spin, turn[1] * spin, -turn[2] * spin), [t[r * 4 + j] for r in range(3) for j in range(3)], 3)
+    return pose(rot, [t[3] + y * speed, t[7] - x * speed, t[11] + z * speed])
 
 
 def limited(v: Column, most: float) -> Column:

@@ -138,17 +138,20 @@ def orbits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nominal_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poses turned back about a pivot by their yaw."""
     s = F.col("p_size").cast("double")
-    t = g.about_pivot(g.pose([F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0, 0, 0, 1)], [s, F.lit(0.0), F.lit(2.0)]), -F.radians(s), (1.0, 0.0, 0.0))
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(t[3], 6).alias("x"), F.round(t[7], 6).alias("y"), F.round(t[0], 6).alias("r00"), F.round(t[4], 6).alias("r10"), t[11].alias("z"))
+    p = table(spark, sf_dir, "part").select("p_partkey", s.alias("s"), g.pose([F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0, 0, 0, 1)], [s, F.lit(0.0), F.lit(2.0)]).alias("t"))
+    p = p.select("p_partkey", g.about_pivot(F.col("t"), -F.radians("s"), (1.0, 0.0, 0.0)).alias("t"))
+    t = F.col("t")
+    return p.select("p_partkey", F.round(t[3], 6).alias("x"), F.round(t[7], 6).alias("y"), F.round(t[0], 6).alias("r00"), F.round(t[4], 6).alias("r10"), t[11].alias("z"))
 
 
 @register("with p as (select p_partkey, (p_size - 25) / 25.0::double s, radians(6 * ((p_size - 25) / 25.0::double)) a from part) select p_partkey, round(1 + 0.2 * s, 6) as x, round(2 - 0.1 * s, 6) as y, round(3 + 0.3 * s, 6) as z, round(cos(a), 6) as r00, round(-sin(-a), 6) as r01 from p")
 def nudged_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poses moved by a six-axis device."""
-    s = (F.col("p_size") - 25) / 25.0
     unit = g.pose([F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0, 0, 0, 1)], [F.lit(1.0), F.lit(2.0), F.lit(3.0)])
-    t = g.nudged(unit, [s, 2 * s, 3 * s], [F.lit(0.0), F.lit(0.0), F.radians(s * 2)], 0.1, 3.0)
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(t[3], 6).alias("x"), F.round(t[7], 6).alias("y"), F.round(t[11], 6).alias("z"), F.round(t[0], 6).alias("r00"), F.round(t[1], 6).alias("r01"))
+    p = table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_size") - 25) / 25.0).alias("s"), unit.alias("t"))
+    s, t = F.col("s"), F.col("t")
+    p = p.select("p_partkey", g.nudged(t, [s, 2 * s, 3 * s], [F.lit(0.0), F.lit(0.0), F.radians(s * 2)], 0.1, 3.0).alias("t"))
+    return p.select("p_partkey", F.round(t[3], 6).alias("x"), F.round(t[7], 6).alias("y"), F.round(t[11], 6).alias("z"), F.round(t[0], 6).alias("r00"), F.round(t[1], 6).alias("r01"))
 
 
 @register("with p as (select p_partkey, p_size::double s, (p_partkey % 10 - 3)::double z from part) select p_partkey, round(s * least(1, 30 / sqrt(2 * s * s)), 6) as limited, round(s + greatest(0, least(1, z / 4)) * (10 - s), 6) as between, case when z > 1 then 'whole' when 3 > 1 then 'cut' end as clip, case when z <= 1 then round(3 + (3 - 1) / (3 - z) * (s - 3), 6) else s end as clipped from p")

