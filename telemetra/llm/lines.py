@@ -85,12 +85,14 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     windows = windows.withColumn("n", F.col("e") - F.col("s") + 1).withColumn("k", F.floor(F.log2(F.col("n") + F.lit(0.25))).cast("int"))
     windows = written(windows, "windows")
 
-    tagged = None
+    # all levels in one table, so that two joins give every window both of its ranks
+    stacked = None
     for k, level in enumerate(levels):
-        of = windows.where(F.col("k") == k)
-        of = of.join(level.select("key", F.col("line").alias("s"), F.col("rank").alias("ra")), ["key", "s"])
-        of = of.join(level.select("key", (F.col("line") + (1 << k) - 1).alias("e"), F.col("rank").alias("rb")), ["key", "e"])
-        tagged = of if tagged is None else tagged.unionByName(of)
+        one = level.select("key", "line", F.lit(k).alias("k"), "rank")
+        stacked = one if stacked is None else stacked.unionByName(one)
+    tagged = windows.withColumn("s2", F.col("e") + 1 - F.expr("shiftleft(1, k)"))
+    tagged = tagged.join(stacked.withColumnsRenamed({"line": "s", "rank": "ra"}), ["key", "s", "k"])
+    tagged = tagged.join(stacked.withColumnsRenamed({"line": "s2", "rank": "rb"}), ["key", "s2", "k"])
     tagged = written(tagged.select("key", "ord", "s", "e", "n", "ra", "rb"), "tagged")
     place = F.struct("ord", "key", "s")
     # written, so that the join behind it can be split where an interval holds very many suffixes
