@@ -256,6 +256,25 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(d.limit(0), items).count() == 0
 
 
+def test_decontamination_ties_and_long_texts(spark):
+    said = " ".join(f"tok{k}" for k in range(30))
+    docs = [(1, said), (2, "filler " * 60_000 + said), (2, "filler " * 60_000 + said), (3, "filler " * 60_000), (4, None), (5, "")]
+    items = spark.createDataFrame([(9, said), (4, said), (4, said), (6, "filler")], "item_id long, text string")
+    rows = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    got = sorted((r.doc_id, r.n_items, r.item_id, r.share, r.contaminated) for r in rows)
+    assert got == [(1, 2, 4, 1.0, True), (2, 2, 4, 1.0, True), (2, 2, 4, 1.0, True), (3, 0, None, None, False), (4, 0, None, None, False), (5, 0, None, None, False)]
+
+
+def test_minhash_of_nothing_and_of_one_group(spark):
+    """An empty table, and a group of copies with a third of all rows among others."""
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert minhash.digest(empty).count() == 0 and minhash.keep_one(empty).count() == 0
+    words = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join(words)) for k in range(300)] + [(1000 + k, " ".join([*words[:k], "x", *words[k + 1 :]])) for k in range(80)] + [(2000 + k, " ".join(f"o{k}n{j}" for j in range(40))) for k in range(300)]
+    got = {r.doc_id: r.component_id for r in minhash.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[d] for d, _ in rows[:380]} == {0} and all(got[d] == d for d, _ in rows[380:])
+
+
 def brute_shares(docs, items):
     """Best agreement of each document and item over all alignments."""
     out = {}
