@@ -13,20 +13,29 @@ def _merged(grid: DataFrame, samples: DataFrame, key: str, t: str, value: str) -
     return left.unionByName(right, allowMissingColumns=True)
 
 
-def neighbours(grid: DataFrame, samples: DataFrame, key: str, t: str, value: str) -> DataFrame:
+def neighbours(grid: DataFrame, samples: DataFrame, key: str, t: str, value: str, bucket: int | None = None) -> DataFrame:
     """`grid` with before and after: the last sample at or before each row, the first at or after it, as (t, v).
 
     One shuffle serves both directions, each with its sort. Several samples of one time count as their greatest value.
+    With `bucket`, an episode is dealt by stretches of that length, so that a very long one isn't sorted by one task;
+    each stretch then gets the last sample before it and the first after it from a table of one row a stretch.
     """
-    w = Window.partitionBy(key).orderBy(t, "_grid")
-    back = Window.partitionBy(key).orderBy(F.col(t).desc(), "_grid")
-    both = _merged(grid, samples, key, t, value).withColumns({"before": F.last("_s", True).over(w), "after": F.last("_s", True).over(back)})
-    return both.where("_grid = 1").select("_row.*", "before", "after")
-
-
-def interpolated(grid: DataFrame, samples: DataFrame, key: str, t: str, value: str) -> DataFrame:
+    both = _merged(grid, samples, key, t, value).withColumn("_b", F.floor(F.col(t) / bucket) if bucket else F.lit(0).cast("long"))
+    w = Window.partitionBy(key, "_b").orderBy(t, "_grid")
+    back = Window.partitionBy(key, "_b").orderBy(F.col(t).desc(), "_grid")
+    placed = both.withColumns({"before": F.last("_s", True).over(w), "after": F.last("_s", True).over(back)}).where("_grid = 1")
+    if bucket is None:
+        return placed.select("_row.*", "before", "after")
+    ends = both.groupBy(key, "_b").agg(F.max_by("_s", F.col("_s.t")).alias("_last"), F.min_by("_s", F.col("_s.t")).alias("_first"))
+    past = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(key, "_b", F.last("_last", True).over(past).alias("_past"), F.last("_first", True).over(future).alias("_future"))
+    return placed.join(ends, [key, "_b"]).select("_row.*", F.coalesce("before", "_past").alias("before"), F.coalesce("after", "_future").alias("after"))
+
+
+def interpolated(grid: DataFrame, samples: DataFrame, key: str, t: str, value: str, bucket: int | None = None) -> DataFrame:
     """Linear interpolation of `value` at the grid's times; null outside the samples' range, never extrapolated."""
-    near = neighbours(grid, samples, key, t, value)
+    near = neighbours(grid, samples, key, t, value, bucket)
     share = (F.col(t) - F.col("before.t")) / F.nullif(F.col("after.t") - F.col("before.t"), F.lit(0))
     v = F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), F.col("before.v") + F.coalesce(share, F.lit(0.0)) * (F.col("after.v") - F.col("before.v")))
     return near.withColumn(value, v).drop("before", "after")
@@ -36,17 +45,17 @@ def binarised(x: Column, at: float = 0.5) -> Column:
     return F.when(x >= at, 1.0).when(x < at, 0.0)
 
 
-def held(grid: DataFrame, samples: DataFrame, key: str, t: str, value: str, period: int) -> DataFrame:
+def held(grid: DataFrame, samples: DataFrame, key: str, t: str, value: str, period: int, bucket: int | None = None) -> DataFrame:
     """The last sample with time at most half a period after each grid row, or else the first one."""
     shifted = samples.select(key, (F.col(t) - period // 2).alias(t), value)
-    near = neighbours(grid, shifted, key, t, value)
+    near = neighbours(grid, shifted, key, t, value, bucket)
     pick = F.coalesce(F.col("before"), F.col("after"))  # where none is before, the next one is the first
     return near.withColumns({value: pick["v"], "residual": F.abs(pick["t"] + period // 2 - F.col(t))}).drop("before", "after")
 
 
-def nearest(grid: DataFrame, samples: DataFrame, key: str, t: str, value: str) -> DataFrame:
+def nearest(grid: DataFrame, samples: DataFrame, key: str, t: str, value: str, bucket: int | None = None) -> DataFrame:
     """The sample nearest in time; of two as near, the earlier."""
-    near = neighbours(grid, samples, key, t, value)
+    near = neighbours(grid, samples, key, t, value, bucket)
     late = F.col("after.t") - F.col(t)
     early = F.col(t) - F.col("before.t")
     pick = F.when(F.col("before").isNull() | (late < early), F.col("after")).otherwise(F.col("before"))

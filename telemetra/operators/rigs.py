@@ -95,6 +95,17 @@ def recorded_intrinsics(k: Column, capture: tuple[int, int], stream: tuple[int,
     return g.cropped(k, float(x + (cw - sw) // 2), float(y))
 
 
+def rig_calibration(cameras: DataFrame) -> DataFrame:
+    """(camera, hand_eye, extrinsics, success) of a rig's cameras (camera, base_pose, tool_pose): one fixed to the base has extrinsics, one on a tool hand-eye."""
+    return cameras.select("camera", F.when(F.col("base_pose").isNull(), F.col("tool_pose")).alias("hand_eye"), F.col("base_pose").alias("extrinsics"), F.col("base_pose").isNotNull().alias("success"))
+
+
+def wrist_joints(cameras: DataFrame) -> DataFrame:
+    """(name, joints): the joints that move each wrist camera, by its role."""
+    side = F.when(F.col("role") == "left_wrist", "follower_l_joint_pos").when(F.col("role") == "right_wrist", "follower_r_joint_pos")
+    return cameras.select("name", side.alias("joints")).where("joints is not null")
+
+
 def clock_offsets(frames: DataFrame, stream: str, wall: str, own: str) -> DataFrame:
     """(stream, offset): what takes a stream's own clock to the wall's, by its first frame."""
     return frames.groupBy(stream).agg(F.min_by(F.col(wall) - F.col(own), own).alias("offset"))

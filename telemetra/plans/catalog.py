@@ -25,6 +25,12 @@ def asof_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.interpolated(*grid_and_samples(spark, sf_dir), "user_id", "t", "value").withColumn("value", F.round("value", 6))
 
 
+@register(f"with {_NEAR} select event_id, user_id, t, round(case when at_ = bt then bv else bv + (t - bt)::double / (at_ - bt) * (av - bv) end, 6) as value from n")
+def asof_interpolate_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for episodes too long for one task, dealt by days."""
+    return align.interpolated(*grid_and_samples(spark, sf_dir), "user_id", "t", "value", bucket=86_400_000_000).withColumn("value", F.round("value", 6))
+
+
 @register(f"with {_NEAR} select event_id, user_id, t, case when (case when at_ = bt then bv else bv + (t - bt)::double / (at_ - bt) * (av - bv) end) >= 50 then 1.0::double when (case when at_ = bt then bv else bv + (t - bt)::double / (at_ - bt) * (av - bv) end) < 50 then 0.0::double end as value from n")
 def asof_binarised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.interpolated(*grid_and_samples(spark, sf_dir), "user_id", "t", "value").withColumn("value", align.binarised(F.col("value"), 50.0))

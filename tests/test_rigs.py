@@ -30,3 +30,10 @@ def test_base_transform(spark):
     rows = [("a", [1.0, 0.0, 0.0, 0.0], 1.0, 2.0, 3.0), ("a", [-1.0, 0.0, 0.0, 0.0], 3.0, 2.0, 3.0)]
     r = rigs.base_transform(spark.createDataFrame(rows, "g string, q array<double>, x double, y double, z double"), ["g"], "q", ["x", "y", "z"]).first()
     assert [abs(round(v, 9)) for v in r["mean"]] == [1, 0, 0, 0] and (r.n, r.x, r.y, r.z) == (2, 2.0, 2.0, 3.0)
+
+
+def test_calibration_of_a_rig(spark):
+    c = spark.createDataFrame([("scene", [1.0], None), ("wrist", None, [2.0]), ("none", None, None)], "camera string, base_pose array<double>, tool_pose array<double>")
+    assert {r.camera: (r.hand_eye, r.extrinsics, r.success) for r in rigs.rig_calibration(c).collect()} == {"scene": (None, [1.0], True), "wrist": ([2.0], None, False), "none": (None, None, False)}
+    cams = spark.createDataFrame([("a", "left_wrist"), ("b", "scene"), ("c", "right_wrist")], "name string, role string")
+    assert {r.name: r.joints for r in rigs.wrist_joints(cams).collect()} == {"a": "follower_l_joint_pos", "c": "follower_r_joint_pos"}
