@@ -30,6 +30,8 @@ from .common import parts, written
 #: 1 reads a token, 0 ignores it; six are read by each.
 MASKS = ("111111", "110110011", "11010011001", "1011001101", "1100101011", "10110100011")
 RUN, SHARE = 20, 0.8
+_PLACES = [[k for k, c in enumerate(mask) if c == "1"] for mask in MASKS]
+_ODD = np.array([0x9E3779B97F4A7C15 * (2 * j + 1) % (1 << 64) for j in range(max(map(len, _PLACES)))], np.uint64)
 #: Bits of the filter per benchmark hash, and the most bits in all (16 MB); with more hashes more of them pass it.
 FILTER_RATIO, FILTER_BITS = 32, 1 << 27
 #: Up to this number the benchmark's hashes are broadcast to the join (some 20 MB); more are joined by shuffle.
@@ -60,18 +62,23 @@ def tokens(text: str | None, store: _Hashes | None = None) -> np.ndarray:
     return np.fromiter(map(store.__getitem__, words), np.uint64, len(words))
 
 
-def seeds(values: np.ndarray, mask: int) -> np.ndarray:
-    """Hash of the window at each place under MASKS[mask]."""
-    places = [k for k, c in enumerate(MASKS[mask]) if c == "1"]
-    n = len(values) - len(MASKS[mask]) + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    acc = np.full(n, mask + 1, np.uint64)
+def seeds(values: np.ndarray) -> list[np.ndarray]:
+    """For each mask the hash of the window at each place: a sum of the tokens it reads, each times a number of its own."""
     with np.errstate(over="ignore"):
-        for k in places:
-            acc = (acc ^ values[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-            acc ^= acc >> np.uint64(29)
-    return acc.view(np.int64)
+        times = [values * c for c in _ODD]
+        out = []
+        for m, places in enumerate(_PLACES):
+            n = len(values) - len(MASKS[m]) + 1
+            if n <= 0:
+                out.append(np.empty(0, np.int64))
+                continue
+            acc = np.full(n, m + 1, np.uint64)
+            for j, k in enumerate(places):
+                acc += times[j][k : k + n]
+            acc ^= acc >> np.uint64(32)
+            acc *= _ODD[0]
+            out.append(acc.view(np.int64))
+    return out
 
 
 def agreement(doc: np.ndarray, item: np.ndarray, shift: int) -> float:
@@ -102,8 +109,7 @@ def _seed_rows(items: DataFrame) -> DataFrame:
             out = []
             for item_id, text in zip(part["item_id"].to_pylist(), part["text"].to_pylist()):
                 values = tokens(text, store)
-                for m in range(len(MASKS)):
-                    h = seeds(values, m)
+                for h in seeds(values):
                     out.append((h, item_id, np.arange(len(h), dtype=np.int32)))
             yield _batch(out, [("h", pa.int64()), ("item_id", pa.int64()), ("place", pa.int32())])
 
@@ -136,8 +142,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
             out = []
             for key, said in zip(part["key"].to_pylist(), part["text"].to_pylist()):
                 values = tokens(said, store)
-                for m in range(len(MASKS)):
-                    h = seeds(values, m)
+                for h in seeds(values):
                     cell = h.view(np.uint64) >> down
                     at = np.flatnonzero((known[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & low)) & np.uint64(1))
                     if len(at):
