@@ -33,7 +33,7 @@ SALTS = 32
 
 def shape(n: int, threshold: float) -> tuple[int, int]:
     """(bits, tables) for `n` distinct vectors."""
-    bits = min(24, max(6, math.ceil(math.log2(max(n, 1) / 128))))
+    bits = min(24, max(6, math.ceil(math.log2(max(n, 1) / 512))))
     same = 1 - math.acos(threshold) / math.pi
     return bits, math.ceil(math.log(MISS) / math.log(1 - same**bits))
 
@@ -103,21 +103,23 @@ def links(vectors: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFr
         left = np.flatnonzero(batch.mine.to_numpy() == x)
         right = left if x == y else np.flatnonzero(batch.mine.to_numpy() == y)
         near, labels, unsure = np.zeros(len(rep)), np.arange(len(rep)), []
+        unit = q * step[:, None].astype(np.float32)
+        loosest = threshold - (2 * err.max() + err.max() ** 2) - 1e-3  # more than rounding takes from a linked pair
         for at in range(0, len(left), 512):
             rows = left[at : at + 512]
-            cos = (q[rows] @ q[right].T).astype(float) * step[rows][:, None] * step[right][None, :]
-            slack = err[rows][:, None] + err[right][None, :] + err[rows][:, None] * err[right][None, :] + 1e-6
-            a, b = np.nonzero(cos + slack >= threshold)
-            sure = cos[a, b] - slack[a, b] >= threshold
+            a, b = np.nonzero(unit[rows] @ unit[right].T >= loosest)
             a, b = rows[a], right[b]
             ok = (rep[a] < rep[b]) if x == y else (rep[a] != rep[b])
-            a, b, sure = a[ok], b[ok], sure[ok]
+            a, b = a[ok], b[ok]
             for s in range(0, len(a), 65536):
-                p, r, known = a[s : s + 65536], b[s : s + 65536], sure[s : s + 65536]
+                p, r = a[s : s + 65536], b[s : s + 65536]
                 if t:  # a pair counts in the first table in which it meets
                     new = ~(codes[p, :t] == codes[r, :t]).any(axis=1)
-                    p, r, known = p[new], r[new], known[new]
-                unsure.append((rep[p[~known]], rep[r[~known]]))
+                    p, r = p[new], r[new]
+                cos = np.einsum("ij,ij->i", q[p], q[r], dtype=float) * step[p] * step[r]
+                slack = err[p] + err[r] + err[p] * err[r] + 1e-6
+                known, open_ = cos - slack >= threshold, np.abs(cos - threshold) <= slack
+                unsure.append((rep[p[open_ & ~known]], rep[r[open_ & ~known]]))
                 p, r = p[known], r[known]
                 near += np.bincount(p, many[r], len(rep)) + np.bincount(r, many[p], len(rep))
                 labels = _joined(labels, p, r)
