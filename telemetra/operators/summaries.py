@@ -169,11 +169,14 @@ def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """Rows with _k, their place in the whole order, from 0.
 
-    Keys are dealt into ranges by a fixed hash-free rule, the cuts of approximate percentiles of the first order column;
+    Rows are dealt into ranges by the approximate percentiles of the first order column;
     ranges are counted, and rows numbered within their range, so no task sorts everything and a repeated stage gives the same numbers.
     """
     cuts = rows.agg(F.percentile_approx(order[0], [k / 256 for k in range(1, 256)], 10_000).alias("_cuts"))
-    parts = rows.crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col(order[0])))).drop("_cuts")
+    cuts = cuts.withColumn("_wide", F.transform(F.sequence(F.lit(16), F.lit(240), F.lit(16)), lambda k: F.element_at("_cuts", k)))
+    below = lambda places: F.size(F.filter(places, lambda x: x < F.col(order[0])))
+    parts = rows.crossJoin(F.broadcast(cuts)).withColumn("_c", below(F.col("_wide")))  # first among 16 wide ranges, then within one
+    parts = parts.withColumn("_part", F.col("_c") * 16 + below(F.slice("_cuts", F.col("_c") * 16 + 1, 15))).drop("_cuts", "_wide", "_c")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # 256 rows at most
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return parts.join(F.broadcast(sizes), "_part").withColumn("_k", F.col("_before") + within).drop("_part", "_before")
