@@ -221,8 +221,8 @@ def test_secrets_model_finds_planted_keys(spark):
             said += f" token = '{key('0123456789abcdef', 40)}' "
         if k % 4 == 1:
             said += " "
-            planted[k] = (len(said), len(said) + 32)
-            said += key(string.ascii_letters + string.digits, 32) + " " + word()
+            planted[k] = (len(said), len(said) + 24)
+            said += key(string.ascii_letters + string.digits, 24) + " " + word()
         docs.append((k, said))
     rows = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     con = duckdb.connect()
