@@ -152,7 +152,7 @@ def _judged(value, schema: str | dict | None) -> bool | None:
 
 def defined(turns: DataFrame) -> DataFrame:
     """(conv_id, name, schema, since, until) from turns (conv_id, turn, role, text): a definition holds until its name is defined again."""
-    found = turns.where(F.col("role").isin("system", "developer") & F.col("text").startswith("{"))
+    found = turns.where(F.col("role").isin("system", "developer") & _is_object("text"))
     found = found.select("conv_id", _since().alias("since"), F.posexplode(F.from_json("text", TOOLS)["tools"]).alias("place", "t"))
     name, schema = F.coalesce("t.name", "t.function.name"), F.coalesce("t.parameters", "t.input_schema", "t.function.parameters")
     found = found.select("conv_id", name.alias("name"), schema.alias("schema"), "since", "place").where("name is not null")
@@ -160,6 +160,11 @@ def defined(turns: DataFrame) -> DataFrame:
     return found.withColumn("until", until).where("until is null or since < until").drop("place")
 
 
+def _is_object(text: str):
+    """Whether a text begins as a JSON object, after white space or not."""
+    return F.ltrim(F.col(text), F.lit(" \t\n\r")).startswith("{")
+
+
 def _since():
     """The turn; a null one is before all others."""
     return F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63)))
@@ -189,11 +194,11 @@ def levels(calls: DataFrame) -> DataFrame:
 def _beside(role: str | None, text: str) -> list[str]:
     """The canonical JSON of what a turn says beside its calls, if anything."""
     try:
-        said, end = json.JSONDecoder().raw_decode(text)
+        said, end = json.JSONDecoder().raw_decode(text.lstrip(" \t\n\r"))
     except (ValueError, RecursionError):
         return [canonical({"role": role, "content": text})]
     fields = {k: v for k, v in said.items() if v is not None and k not in ("tool_calls", "content") and (k, v) != ("role", role)}
-    out = {k: v for k, v in (("fields", fields), ("after", text[end:].strip())) if v}
+    out = {k: v for k, v in (("fields", fields), ("after", text.lstrip(" \t\n\r")[end:].strip())) if v}
     content = said.get("content")
     return [canonical({"role": role, "content": content, **out})] if out or content is not None else []
 
@@ -205,8 +210,8 @@ def linked(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFram
     """
     schemas = schemas or {}
     rows = turns.select("conv_id", "turn", "role", "text")
-    rows = rows.withColumn("calls", F.when((F.col("role") == "assistant") & F.col("text").startswith("{"), F.from_json("text", CALLS)["tool_calls"]))
-    rows = rows.withColumn("answer", F.when((F.col("role") == "tool") & F.col("text").startswith("{"), F.from_json("text", RESULT)))
+    rows = rows.withColumn("calls", F.when((F.col("role") == "assistant") & _is_object("text"), F.from_json("text", CALLS)["tool_calls"]))
+    rows = rows.withColumn("answer", F.when((F.col("role") == "tool") & _is_object("text"), F.from_json("text", RESULT)))
 
     @F.pandas_udf("array<string>")
     def beside(role: pd.Series, text: pd.Series) -> pd.Series:

@@ -47,7 +47,8 @@ PATHS, FAIR, DEPTH = 3, 0.3, 48
 #: Up to this number of hosts their paths are broadcast (some 300 bytes each); more are joined by shuffle, in SALTS parts a host.
 BROADCAST_HOSTS, SALTS = 50_000, 32
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|<[^>]*>|([^<]+)|(<)""", re.S)
+# As HTML reads it, `<` before anything but a letter, `/`, `!` or `?` is text, and `</` before no letter begins a comment.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|</[^>]*>|([^<]+)|(<)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")

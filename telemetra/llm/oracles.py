@@ -37,6 +37,32 @@ select documents.doc_id, coalesce(len(parts), 0)::bigint as n_lines, coalesce(le
 case when gone is null then documents.text else array_to_string([parts[k] for k in range(1, len(parts) + 1) if not list_contains(gone, k)], chr(10)) end as text
 from documents left join d on documents.doc_id = d.doc_id left join gone on gone.doc_id = documents.doc_id"""
 
+#: Scores of every document that shares a term with an item, in whole numbers but for the logarithm.
+SEARCH = r"""with d as (select doc_id, row_number() over (order by doc_id) as r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents where text is not null),
+i as (select item_id, row_number() over (order by item_id) as q, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+iq as (select item_id, q, term, count(*) as times from i group by all),
+z as (select count(*)::bigint as n, sum(len(t))::bigint as l from d where len(t) > 0),
+tf as (select doc_id, r, term, count(*)::bigint as tf, any_value(k)::bigint as k from (select doc_id, r, len(t) as k, unnest(t) as term from d) group by doc_id, r, term),
+w as (select term, floor(1000 * ln((2 * (select n from z) + 2)::double / (2 * count(*) + 1)))::bigint as w from tf group by term),
+s as (select iq.item_id, iq.q, tf.doc_id, tf.r, sum(iq.times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * tf.k * z.n) // z.l))))::bigint as score from iq join tf on iq.term = tf.term join w on w.term = tf.term cross join z group by all),
+o as (select item_id, doc_id, score, row_number() over (partition by q order by score desc, doc_id, r) as rank from s where score > 0)
+select item_id, rank, doc_id, score from o where rank <= 20"""
+
+
+def clusters_sql(k: int = 8, rounds: int = 10, seed: int = 3, dim: int = 64) -> str:
+    """K-means in whole numbers, a few CTEs a round; every vector is compared with every centroid."""
+    apart = f"list_sum([(v.v[i] - c.c[i]) * (v.v[i] - c.c[i]) for i in range(1, {dim + 1})])::bigint"
+    steps = [f"""v as materialized (select vec_id, row_number() over (order by vec_id) as r, [floor(1024 * x)::bigint for x in e] as v from (select vec_id, embedding::double[] as e from embeddings) where len(e) = {dim} and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (select row_number() over (order by h, r) - 1 as k, v as c from (select *, sha256('{seed}:' || vec_id) as h from v) order by h, r limit {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} as materialized (select r, arg_min(k, (d, k)) as k, min(d) as d from (select v.r, c.k, {apart} as d from v, c{n} c) group by r)")
+        if n < rounds:
+            sums = f"select a.k, i, sum(v.v[i])::hugeint as s, count(*)::hugeint as n from a{n} a join v on v.r = a.r, range(1, {dim + 1}) g(i) group by all"
+            steps.append(f"c{n + 1} as materialized (select c.k, coalesce(m.c, c.c) as c from c{n} c left join (select k, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as c from ({sums}) group by k) m on m.k = c.k)")
+    last = f"select v.vec_id, a.k::int as cluster, a.d as distance, (sum(a.d) over (partition by a.k))::bigint as cluster_inertia, (sum(a.d) over ())::bigint as inertia, sha256(array_to_string(c.c, ',')) as centroid_sha256 from a{rounds} a join v on v.r = a.r join c{rounds} c on c.k = a.k"
+    return f"with {', '.join(steps)} {last}"
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -70,4 +96,6 @@ ORACLES: dict[str, str] = {
     "op6_embedding_near_dedup": EMBEDDINGS,
     "op7_secret_scans": SECRETS,
     "op10_minhash_near_dedup": DOCUMENTS,
+    "op11_ranked_search": SEARCH,
+    "op12_centroid_clustering": clusters_sql(),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embedding, html, lines, minhash, packing, quality, secrets, toxicity
+from . import chat, clusters, decontaminate, embedding, html, langid, lines, minhash, packing, quality, search, secrets, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -61,6 +61,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for every benchmark item."""
+    return search.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after ten rounds, with exact distances and inertias."""
+    return clusters.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -74,4 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_compression_quality": op8_compression_quality,
     "op9_decontamination": op9_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_language_id": op13_language_id,
 }

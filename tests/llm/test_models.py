@@ -187,6 +187,20 @@ def plain_links(turns):
     return {(conv, i, turn, place): ((answers.get((conv, i), []) + [None] * 99)[k], level(conv, i)) for (conv, i), made in calls.items() for k, (turn, place, _) in enumerate(made)}
 
 
+def test_chat_reads_json_after_white_space(spark):
+    turns = [
+        (1, 0, "system", ' \n{"tools": [{"name": "f", "parameters": {"type": "object", "required": ["x"]}}]}'),
+        (1, 1, "assistant", '\t\r\n {"content": "wait", "tool_calls": [{"id": "a", "name": "f", "arguments": {"y": 1}}]} \n'),
+        (1, 2, "tool", '  {"tool_call_id": "a", "content": "done"}\n'),
+    ]
+    rows = chat.digest(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    call = next(r for r in rows if r.kind == "call")
+    assert call.call_id == "a" and call.level == 0 and call.valid is False and '"result":"done"' in call.json
+    assert sorted(r.kind for r in rows) == ["call", "message", "message", "result"]
+    assert any(r.turn == 1 and r.kind == "message" and json.loads(r.json) == {"role": "assistant", "content": "wait"} for r in rows)
+    assert chat.digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string, valid string")).count() == 0
+
+
 def test_chat_against_loops(spark):
     rng = random.Random(8)
     turns = []
@@ -246,6 +260,8 @@ def test_html_broken_markup_and_names():
     assert said('<body><div data-id="share"><p>three</p></div><p class="share-price">four</p>') == "three\nfour"
     assert said('<body><div class="content has-sidebar no-comments"><p>five</p></div><div class="post-comments">six</div>') == "five"
     assert said('<p>a<a href="x>y">b</a> c &lt;d&gt; < e') == "ab c <d> < e"
+    assert said("<p>if a < b then c</p><p>x <3 y <= z << 1 <</p>") == "if a < b then c\nx <3 y <= z << 1 <"
+    assert said("<p>a</ b>c</>d<!x>e<?y z>f</3>g</p>") == "acdefg"
     assert said("<div class='share'><p>" + "all of the page " * 9 + "</p></div>").startswith("all of")
     assert said(None) == said("") == said("<script>x</script>") == ""
     began = time.time()
@@ -253,6 +269,27 @@ def test_html_broken_markup_and_names():
     assert said("<p " * 50_000) != "" and time.time() - began < 5
 
 
+def test_html_of_generated_pages_is_the_text_they_were_made_of(spark):
+    """Pages are written from known blocks, with markup, references and `<` in them; the text must be those blocks."""
+    rng = random.Random(6)
+    word = lambda: rng.choice(["a < b", "x <3", "p <= q", "1 << 2", "Caf\u00e9", "R&D", "plain", "words", "of", "text", "5 > 4", "it's", '"so"'])
+    written = lambda w: w.replace("&", "&amp;").replace("\u00e9", rng.choice(["&eacute;", "&#233;", "\u00e9"])).replace(">", "&gt;") if rng.random() < 0.5 else w.replace("&D", "&amp;D").replace(">", "&gt;")
+    pages, want = [], {}
+    for page in range(120):
+        host, made, said = page % 7, [], []
+        for _ in range(rng.randrange(3, 9)):
+            block = [word() for _ in range(rng.randrange(8, 40))]
+            said.append(" ".join(block))
+            tag = rng.choice(["p", "p", "h2", "blockquote", "pre"])
+            inner = [f"<{t}>{written(w)}</{t}>" if (t := rng.choice(["", "", "", "b", "em"])) else written(w) for w in block]
+            made.append(f"<{tag}>" + rng.choice([" ", "\n  ", "\t"]).join(inner) + f"</{tag}>")
+        frame = f"<nav><a href='/'>home</a></nav><div class='post-{page}'>{'<!-- < note > -->'.join(made)}</div><div class='sidebar'><p>more to read</p></div><form><p>name</p></form><footer>1 < 2</footer>"
+        pages.append((page, f"http://host{host}.example/{page}", f"<html><head><title>t</title><style>p < q</style></head><body><script>if (a < b) x('</p>')</script>{frame}</body></html>"))
+        want[page] = "\n".join(said)
+    got = html.digest(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
 def test_html_two_templates_and_small_containers(spark, monkeypatch):
     body = lambda n: "".join(f"<p>Sentence {k} of page {n}, which is long enough to be taken for the text of an article.</p>" for k in range(4))
     first = "<body><div class=story>{}</div><div class=box>short words</div></body>"
