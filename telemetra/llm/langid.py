@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import PASSAGE, bound_batches, fold, parts
 
 UND = "und"
-ROWS, DIM, WORD = 1 << 15, 16, 40
+BITS, DIM, WORD = 15, 16, 40
+ROWS = 1 << BITS
 NGRAMS = (1, 2, 3, 4)
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose sums a worker keeps; on reaching it the store is emptied.
 KEPT_WORDS = 200_000
 #: Characters of a text that are split into words at a time.
@@ -46,6 +49,7 @@ class Model:
     table: np.ndarray | None = None  # embeddings times layer, one row a hash
     bias: np.ndarray | None = None
     heat: tuple[float, float] = (0.0, 0.0)  # log of the temperature: constant, and by log of the number of words
+    doubt: float = 0.0  # what no score is nearer to 1 than: one error more than was seen in the rows held back
     reject: float = 0.0
 
 
@@ -53,24 +57,32 @@ def _letters(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
-def words(text: str) -> Counter:
-    """How often each word occurs, in lower case; a long text is counted piece by piece, cut between words."""
-    out: Counter = Counter()
+def words(text: str) -> Iterator[list[str]]:
+    """The words in lower case; those of a long text piece by piece, cut between words."""
     at = 0
     while at < len(text):
         end = at + PIECE
         while end < len(text) and text[end].isalpha() and end < at + 2 * PIECE:
             end += 1
-        out.update(_WORDS.findall(text[at:end].lower()))
+        yield _WORDS.findall(text[at:end].lower())
         at = end
-    return out
 
 
-def subwords(word: str) -> list[int]:
-    """Rows of a word and its n-grams."""
-    marked = f"<{word}>"
-    grams = {marked, *(marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1))}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % ROWS for g in sorted(grams)]
+def subwords(said: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, starts): the hashed rows of the n-grams of each word and of the word itself, and where each word's begin."""
+    c = np.frombuffer("".join(f"<{w}>" for w in said).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, said), np.int64, len(said)) + 2
+    first = np.cumsum(size) - size
+    left = np.repeat(first + size, size) - np.arange(len(c))  # characters to the word's end
+    h, rows, there = np.zeros(len(c), np.uint64), np.zeros((len(c), len(NGRAMS) + 1), np.uint64), np.zeros((len(c), len(NGRAMS) + 1), bool)
+    for k, n in enumerate(NGRAMS):  # a hash of n characters from that of one less
+        h = h * _PRIME + np.append(c[n - 1 :], np.zeros(min(n - 1, len(c)), np.uint64))
+        rows[:, k], there[:, k] = h + np.uint64(n), left >= n
+    power = np.cumprod(np.full(WORD + 3, _PRIME))
+    rows[first, -1], there[first, -1] = np.add.reduceat(c * power[np.arange(len(c)) - np.repeat(first, size)], first), True
+    mixed = (rows ^ (rows >> np.uint64(29))) * _PRIME
+    number = np.add.reduceat(there.sum(axis=1), first)
+    return (mixed[there] >> np.uint64(64 - BITS)).astype(np.int64), np.cumsum(number) - number
 
 
 def sample(docs: DataFrame, per_lang: int, max_chars: int) -> list[tuple[int, str, str]]:
@@ -97,16 +109,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _told(z: np.ndarray, size: np.ndarray, heat: tuple[float, float], doubt: float) -> np.ndarray:
+    """Probabilities from logits and log of the number of words."""
+    return (1 - doubt) * _softmax(z * np.exp(heat[0] + heat[1] * size)[:, None]) + doubt / z.shape[1]
+
+
 def _features(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     """(rows, shares, words) of a text: each hash with its share of all subwords."""
-    counts: Counter = Counter()
-    seen = words(text)
-    for word, k in seen.items():
-        for row in subwords(word):
-            counts[row] += k
-    rows = np.fromiter(counts, np.int64, len(counts))
-    share = np.fromiter(counts.values(), float, len(counts))
-    return rows, share / share.sum(), sum(seen.values())
+    seen = [w for piece in words(text) for w in piece]
+    rows, n = np.unique(subwords(seen)[0], return_counts=True)
+    return rows, n / n.sum(), len(seen)
 
 
 def fit(docs: DataFrame, per_lang: int = 500, max_chars: int = 4000, epochs: int = 12, rate: float = 0.5, precision: float = 0.99, seed: int = 5) -> Model:
@@ -145,9 +157,10 @@ def fit(docs: DataFrame, per_lang: int = 500, max_chars: int = 4000, epochs: int
         z = np.array([feats[i][1] @ table[feats[i][0]] + bias for i in check])
         size = np.log1p([feats[i][2] for i in check])
         grid = [(a, b) for a in np.arange(-1.0, 3.01, 0.25) for b in np.arange(0.0, 0.81, 0.1)]
-        loss = lambda ab: -np.log(_softmax(z * np.exp(ab[0] + ab[1] * size)[:, None])[np.arange(len(check)), y[check]] + 1e-9).mean()
+        model.doubt = 1 / (len(check) + 2)
+        loss = lambda ab: round(-np.log(_told(z, size, ab, model.doubt)[np.arange(len(check)), y[check]]).mean(), 6)
         model.heat = min(grid, key=lambda ab: (loss(ab), ab))
-        p = _softmax(z * np.exp(model.heat[0] + model.heat[1] * size)[:, None])
+        p = _told(z, size, model.heat, model.doubt)
         top, right = p.max(axis=1), p.argmax(axis=1) == y[check]
         order = np.argsort(-top, kind="stable")
         good = np.flatnonzero(np.cumsum(right[order]) >= precision * np.arange(1, len(order) + 1))
@@ -156,28 +169,35 @@ def fit(docs: DataFrame, per_lang: int = 500, max_chars: int = 4000, epochs: int
 
 
 class _Sums:
-    """Sum and number of the subwords' rows of each word."""
+    """Sum and number of the subwords' rows of each word, of words met before and new ones."""
 
     def __init__(self, model: Model):
-        self.m, self.place = model, {}
-        self.rows = np.zeros((1024, len(model.langs) + 1), np.float32)
-
-    def of(self, seen: Counter) -> tuple[np.ndarray, float]:
-        """(logits, words) of a text."""
-        place = self.place
-        new = [w for w in seen if w not in place]
-        if len(place) + len(new) > KEPT_WORDS:
-            place.clear()
-            new = [*seen]
-        if len(place) + len(new) > len(self.rows):
-            self.rows = np.resize(self.rows, (max(2 * len(self.rows), len(place) + len(new)), self.rows.shape[1]))
-        for w in new:
-            at = subwords(w)
-            k = place[w] = len(place)
-            self.rows[k, :-1], self.rows[k, -1] = self.m.table[at].sum(axis=0), len(at)
-        n = np.fromiter(seen.values(), float, len(seen))
-        sums = n @ self.rows[[place[w] for w in seen]]
-        return sums[:-1] / sums[-1] + self.m.bias, float(n.sum())
+        self.m = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = defaultdict(count().__next__)
+        self.rows, self.known = np.zeros((4096, len(self.m.langs) + 1)), 0
+
+    def of(self, text: str) -> tuple[np.ndarray, int]:
+        """(logits, words) of a text with a letter."""
+        total, n = np.zeros(len(self.m.langs) + 1), 0
+        for piece in words(text):
+            ids = np.fromiter(map(self.place.__getitem__, piece), np.int64, len(piece))
+            if len(self.place) > self.known:
+                new = list(islice(reversed(self.place), len(self.place) - self.known))[::-1]
+                rows, starts = subwords(new)
+                if len(self.place) > len(self.rows):
+                    self.rows = np.concatenate([self.rows[: self.known], np.zeros((2 * len(self.place) - self.known, self.rows.shape[1]))])
+                here = self.rows[self.known : len(self.place)]
+                here[:, :-1] = np.add.reduceat(self.m.table[rows], starts)
+                here[:, -1] = np.diff(starts, append=len(rows))
+                self.known = len(self.place)
+            total += self.rows[ids].sum(axis=0)
+            n += len(piece)
+            if len(self.place) > KEPT_WORDS:
+                self.clear()
+        return total[:-1] / total[-1] + self.m.bias, n
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -194,8 +214,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     lang.append(UND)
                     score.append(0.0)
                     continue
-                z, n = sums.of(words(text))
-                p = _softmax(z[None] * np.exp(m.heat[0] + m.heat[1] * np.log1p(n)))[0]
+                z, n = sums.of(text)
+                p = _told(z[None], np.log1p([n]), m.heat, m.doubt)[0]
                 lang.append(m.langs[int(p.argmax())])
                 score.append(float(p.max()))
             accepted = [x != UND and s >= m.reject for x, s in zip(lang, score)]

@@ -163,9 +163,13 @@ def test_languages_without_or_with_one(spark):
 
 
 def test_language_scores_need_no_lang_column_and_whole_words_count(spark):
-    assert langid.words("Ab ab-c " * 3) == {"ab": 6, "c": 3}
+    assert list(langid.words("Ab ab-c " * 2)) == [["ab", "ab", "c"] * 2]
     long = "x" * (langid.PIECE - 1) + " ab " + "y" * 50
-    assert langid.words(long)["ab"] == 1
+    assert sum(piece.count("ab") for piece in langid.words(long)) == 1
+    said = ["ab", "c", "abcdé", "ab"]
+    rows, starts = langid.subwords(said)
+    each = [rows[a:b].tolist() for a, b in zip(starts, [*starts[1:], len(rows)])]
+    assert each == [langid.subwords([w])[0].tolist() for w in said] and [len(x) for x in each] == [4 + 3 + 2 + 1 + 1, 3 + 2 + 1 + 1, 7 + 6 + 5 + 4 + 1, 11]
     docs = spark.createDataFrame(texts(200), "doc_id long, text string, lang string")
     model = langid.fit(docs)
     a = {r.doc_id: r.score for r in langid.predict(docs.select("doc_id", "text"), model).collect()}
