@@ -35,6 +35,12 @@ def matmul(a: Column, b: Column, n: int = 4) -> Column:
     return F.array(*product(a, b, n))
 
 
+def times(*poses: Column) -> Column:
+    """The product of 4x4 poses. Each factor is evaluated once, however long its expression is, as `matmul` repeats them."""
+    two = lambda a, b: F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: matmul(p["a"], p["b"]))[0]
+    return reduce(two, poses)
+
+
 def rotation(t: Column) -> Column:
     """The 9 numbers of a 4x4 pose's rotation."""
     return F.array(*[t[i * 4 + j] for i in range(3) for j in range(3)])

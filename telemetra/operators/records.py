@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .summaries import first_wins, later_wins
+from .summaries import first_wins, later_wins, numbered
 
 
 def convertible(recordings: DataFrame, demos: DataFrame, on: str, again: bool = False) -> DataFrame:
@@ -95,8 +95,8 @@ def inserted(store: DataFrame, new: DataFrame, unique: list[str] | None = None,
     for name, value in defaults.items():
         new = new.withColumn(name, F.coalesce(F.col(name), value) if name in new.columns else value)
     top = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
-    place = F.row_number().over(Window.orderBy(*[c for c in new.columns if c != "id"]))  # an insert is small
-    return store.unionByName(new.crossJoin(top).withColumn("id", F.col("_top") + place).select(store.columns))
+    new = numbered(new, [c for c in new.columns if c != "id"])
+    return store.unionByName(new.crossJoin(top).withColumn("id", F.col("_top") + F.col("_k") + 1).select(store.columns))
 
 
 def updated(store: DataFrame, patch: DataFrame, at: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .summaries import numbered
+
 from ..functions import geometry as g
 from .poses import mean_rotation
 
@@ -24,6 +26,11 @@ def without_camera(cameras: DataFrame, name: str) -> DataFrame:
     return cameras.where(~F.col("name").eqNullSafe(F.lit(name)))
 
 
+def without_cameras(cameras: DataFrame, names: DataFrame) -> DataFrame:
+    """Cameras without those whose name is in `names` (name)."""
+    return cameras.join(names.select("name"), "name", "left_anti").select(cameras.columns)
+
+
 def of_role(cameras: DataFrame, role: str) -> DataFrame:
     return cameras.where(F.col("role") == role)
 
@@ -131,8 +138,8 @@ def sorted_joints(name: Column, free: Column) -> Column:
 def appended(poses: DataFrame, new: DataFrame) -> DataFrame:
     """Poses (id, ...) with new ones numbered on."""
     top = poses.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
-    place = F.row_number().over(Window.orderBy(*new.columns))  # a few at a time
-    return poses.unionByName(new.crossJoin(top).withColumn("id", (F.col("_top") + place).cast(dict(poses.dtypes)["id"])).select(poses.columns))
+    new = numbered(new, new.columns)
+    return poses.unionByName(new.crossJoin(top).withColumn("id", (F.col("_top") + F.col("_k") + 1).cast(dict(poses.dtypes)["id"])).select(poses.columns))
 
 
 def without_last(poses: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 PERCENTS = (1, 2, 5, 95, 98, 99)
 #: Parts that `percentiles` cuts a group's range of values into.
 BUCKETS = 64
@@ -169,17 +171,15 @@ def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """Rows with _k, their place in the whole order, from 0.
 
-    Rows are dealt into ranges by the approximate percentiles of the first order column;
-    ranges are counted, and rows numbered within their range, so no task sorts everything and a repeated stage gives the same numbers.
+    Rows are sorted by ranges over all order columns, so one that repeats doesn't gather them, and written with their place in
+    their range before any is counted, so a repeated stage gives the same numbers. Ranges' sizes are one row each.
     """
-    cuts = rows.agg(F.percentile_approx(order[0], [k / 256 for k in range(1, 256)], 10_000).alias("_cuts"))
-    cuts = cuts.withColumn("_wide", F.transform(F.sequence(F.lit(16), F.lit(240), F.lit(16)), lambda k: F.element_at("_cuts", k)))
-    below = lambda places: F.size(F.filter(places, lambda x: x < F.col(order[0])))
-    parts = rows.crossJoin(F.broadcast(cuts)).withColumn("_c", below(F.col("_wide")))  # first among 16 wide ranges, then within one
-    parts = parts.withColumn("_part", F.col("_c") * 16 + below(F.slice("_cuts", F.col("_c") * 16 + 1, 15))).drop("_cuts", "_wide", "_c")
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # 256 rows at most
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return parts.join(F.broadcast(sizes), "_part").withColumn("_k", F.col("_before") + within).drop("_part", "_before")
+    low = (1 << 33) - 1  # ids that grow within a partition, whose number lies above these bits
+    placed = written(rows.orderBy(*order).withColumn("_k", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_k", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    return placed.join(F.broadcast(before), part == F.col("_part")).withColumn("_k", F.col("_k").bitwiseAND(low) + F.col("_before")).drop("_part", "_before")
 
 
 def sharded(rows: DataFrame, order: list[str], size: int) -> DataFrame:

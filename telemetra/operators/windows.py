@@ -1,12 +1,10 @@
 """Training windows, differences, edges, islands, sessions, resampling and fits over ordered rows of an episode.
 
-Every function partitions by the episode and streams through its sorted rows; only `smoothed` and `lockstep` hold an
-episode's values together.
+Every function partitions by the episode and streams through its sorted rows; `scans` has what carries a state along them.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,14 +178,6 @@ def falling(rows: DataFrame, key: str, order: list[str], t: str) -> DataFrame:
     return rows.withColumn("_down", down).groupBy(key).agg(F.count_if("_down").alias("falls")).withColumn("monotonic", F.col("falls") == 0)
 
 
-def smoothed(rows: DataFrame, key: str, order: list[str], value: str, alpha: float) -> DataFrame:
-    """(key, *order, value) low-passed: each value is moved by `alpha` from the one before towards its own."""
-    path = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v")))).alias("p"))
-    step = lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)) + alpha * (x["v"] - F.try_element_at(s, F.lit(-1))), x["v"])))
-    out = path.withColumn("y", F.aggregate("p", F.array().cast("array<double>"), step))
-    return out.select(key, F.explode(F.arrays_zip("p", "y")).alias("z")).select(key, *[F.col(f"z.p.{c}").alias(c) for c in order], F.col("z.y").alias(value))
-
-
 def lags(rows: DataFrame, key: str, order: list[str], command: str, measured: str, most: int) -> DataFrame:
     """(key, rms, max, lag, rms_at_lag): tracking error now, and the lag of 0 to `most` rows with the least one about its mean.
 
@@ -223,35 +213,3 @@ def breakpoints(rows: DataFrame, key: str, order: list[str], x: str, y: str, lea
     judged = out.select(key, "k", (e1 + e2).alias("sse"), b1.alias("approach"), b2.alias("contact"), (b1 * F.col("_x") + c1 + F.col("_my")).alias("z"))
     best = judged.groupBy(key).agg(F.min(F.struct(F.round("sse", 6).alias("sse"), "k", "z", "approach", "contact")).alias("b"))
     return best.select(key, "b.k", "b.z", "b.approach", "b.contact", "b.sse")
-
-
-def lockstep(rows: DataFrame, key: str, stream: str, t: str, within: int) -> DataFrame:
-    """(key, frame, stream, t): frames that all streams of an episode have within `within` of each other.
-
-    Times count from each stream's first. As long as the latest of the streams' present frames is more than `within`
-    ahead of others, those move on; the state of one choice decides the next, so an episode is read by one task, in order.
-    """
-    origin = F.min(t).over(Window.partitionBy(key, stream))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        streams = {s: g.sort_values("_e")[["_e", t]].to_numpy() for s, g in frame.groupby(stream)}
-        at, out, k = dict.fromkeys(streams, 0), [], 0
-        while all(at[s] < len(v) for s, v in streams.items()):
-            now = {s: v[at[s]][0] for s, v in streams.items()}
-            late = max(now.values())
-            behind = [s for s, e in now.items() if late - e > within]
-            for s in behind:
-                while at[s] < len(streams[s]) and late - streams[s][at[s]][0] > within:
-                    at[s] += 1
-            if not behind:
-                out += [(frame[key].iloc[0], k, s, v[at[s]][1]) for s, v in streams.items()]
-                k += 1
-                for s in at:
-                    at[s] += 1
-        return pd.DataFrame(out, columns=[key, "frame", stream, t])
-
-    kinds = dict(rows.dtypes)
-    timed = rows.select(key, stream, t).withColumn("_e", F.col(t) - origin)
-    return timed.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, frame long, {stream} {kinds[stream]}, {t} {kinds[t]}")
-
-

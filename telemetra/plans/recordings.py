@@ -316,7 +316,7 @@ def clamp_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows inserted by unique name, relabelled and deleted, one version of the table after another."""
     store = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("new").alias("status"), F.lit(None).cast("long").alias("updated_at"))
-    new = spark.createDataFrame([("z new",), ("z new",)], "name string").unionByName(store.limit(1).select("name"))
+    new = spark.createDataFrame([("z new",), ("z new",)], "name string").unionByName(store.agg(F.min("name").alias("name")))
     grown = records.inserted(store, new, ["name"], status=F.lit("pending"), updated_at=F.lit(None).cast("long"))
     ids = store.where("id % 3 = 1").select("id")
     out = records.relabelled(grown, ids, "status", F.lit("done"), F.lit(7).cast("long"))

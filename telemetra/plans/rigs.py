@@ -27,9 +27,7 @@ def camera_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [rigs.by_serial(c, F.lit(k)) for k in (8, 12)]
     new = names[0].select("name").unionByName(spark.createDataFrame([("extra",)], "name string"))
     new = new.select("name", F.lit("new").alias("serial"), F.lit("realsense").alias("type"), F.lit("scene").alias("role"))
-    gone = names[1].select("name").first()
-    out = rigs.with_camera(c, new)
-    return rigs.of_role(rigs.without_camera(out, gone.name) if gone else out, "scene")
+    return rigs.of_role(rigs.without_cameras(rigs.with_camera(c, new), names[1]), "scene")
 
 
 _PLACED = "select user_id, t, row_number() over (partition by user_id order by t) - 1 i from " + EVENTS + " where event_type = '{}'"

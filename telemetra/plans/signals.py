@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import align, quality, records, summaries, windows
+from ..operators import align, quality, records, scans, summaries, windows
 from .registry import EVENTS, events, grid_and_samples, register, table
 
 HOUR = 3_600_000_000
@@ -124,7 +124,7 @@ def smoothed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     e = events(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")))
-    return windows.smoothed(e, "user_id", ["i"], "value", 0.3).select("user_id", "i", F.round(F.col("value") + 1.23e-7, 4).alias("value"))
+    return scans.smoothed(e, ["user_id"], ["i"], "value", 0.3).select("user_id", "i", F.round(F.col("value") + 1.23e-7, 4).alias("value"))
 
 
 @register(f"""with e as (select user_id, t, event_id, abs(value - lag(value, 2) over w) / greatest(t - lag(t, 2) over w, 1) < 4e-10 and event_type <> 'purchase' and (lag(event_type) over w <> 'purchase') still, min(t) over (partition by user_id) lo, max(t) over (partition by user_id) hi, coalesce(lead(t) over w, t) nxt from {EVENTS} window w as (partition by user_id order by t, event_id)),
@@ -217,10 +217,16 @@ def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy(F.coalesce(why, windows.reason(0, 1, 0.0, 1), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@register("select 1 as past, 2 as future, '[true,false,false,false]' as past_mask, '[false,false,true,true]' as future_mask")
+@register(f"""with b as (select event_id, user_id, value v, row_number() over w - 1 i, count(*) over (partition by user_id) n from {EVENTS} window w as (partition by user_id order by t, event_id)),
+x as (select b.event_id, k, c.v from b, range(-1, 3) r(k), b c where c.user_id = b.user_id and c.i = greatest(0, least(b.n - 1, b.i + k)))
+select event_id, round(sum(v) filter (k < 0), 6) as past, round(sum(v) filter (k > 0), 6) as future, count(*) filter (k < 0) as n_past, count(*) filter (k > 0) as n_future from x group by all""")
 def window_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each training window lies before its anchor, and what after it."""
+    w = windows.clamped(events(spark, sf_dir), "user_id", ORDER, "value", 1, 2)
+    masked = lambda mask: F.aggregate(F.zip_with("window", mask, lambda v, on: F.when(on, v).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    count = lambda mask: F.size(F.filter(mask, lambda on: on))
     before, after = windows.masks(1, 2)
-    return spark.range(1).select(F.lit(1).alias("past"), F.lit(2).alias("future"), F.to_json(before).alias("past_mask"), F.to_json(after).alias("future_mask"))
+    return w.select("event_id", F.round(masked(before), 6).alias("past"), F.round(masked(after), 6).alias("future"), count(before).cast("long").alias("n_past"), count(after).cast("long").alias("n_future"))
 
 
 @register(f"select event_id from {EVENTS} qualify (row_number() over (partition by user_id order by t, event_id) - 1) % 10 = 0")
@@ -304,4 +310,4 @@ def brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lockstep_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks and views of an episode paired by elapsed time, within six hours."""
     e = events(spark, sf_dir).where("event_type in ('click', 'view')")
-    return windows.lockstep(e, "user_id", "event_type", "t", 6 * HOUR)
+    return scans.lockstep(e, "user_id", "event_type", "t", 6 * HOUR)

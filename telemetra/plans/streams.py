@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import remove, shared_dir
 from ..streaming import observations, stateful
 from .registry import EVENTS, register
 
@@ -24,14 +25,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _finished(stream: DataFrame) -> DataFrame:
     """All that a stream gives for what is there now."""
     spark = stream.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="telemetra-")
-    at = f"{shared}/streams/{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    atexit.register(remove, spark, at)
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
