@@ -18,7 +18,7 @@ XYZ = ("x", "y", "z")
 #: Halvings of the extent at most, and those between one level of cells and the next.
 DEPTH, STEP = 20, 2
 #: Different points up to which a cell isn't divided further.
-LEAF = 32
+LEAF = 128
 #: Up to this number of cells (some 150 bytes each) a level is broadcast; beyond it rows meet cells by a shuffle, dealt evenly.
 BROADCAST_CELLS = 100_000
 #: Rows of one cell that go to one task.

@@ -45,6 +45,21 @@ def shards(rows: DataFrame, order: list[str], size: int, path: str) -> DataFrame
     return rows.sparkSession.read.parquet(path).groupBy("shard").agg(F.count("*").alias("n")).orderBy("shard")
 
 
+def tar_shards(rows: DataFrame, order: list[str], size: int, path: str, files: dict[str, Column]) -> None:
+    """Writes `size` samples to a tar file in order, each with the given files (name within the sample: data), and the manifest.
+
+    A file's name begins with the sample's place in the whole order, so names differ. Shards that are there go.
+    """
+    from ..sources.files import registered
+
+    placed = summaries.sharded(rows, order, size)
+    key = F.format_string("%010d", F.col("shard") * size + F.col("place"))
+    parts = F.array(*[F.struct(F.concat(key, F.lit(f".{n}")).alias("name"), v.cast("binary").alias("data")) for n, v in files.items()])
+    registered(rows.sparkSession)
+    out = placed.select("shard", "place", parts.alias("files")).repartition("shard").sortWithinPartitions("shard", "place")
+    out.write.format("tar_shards").mode("overwrite").save(path)
+
+
 def manifest(shards: DataFrame, path: str) -> None:
     """The manifest as JSON lines: a shard's name and how many samples it holds."""
     shards.select(F.format_string("shard_%06d", F.col("shard")).alias("shard"), F.col("n").alias("num_sequences")).coalesce(1).write.mode("overwrite").json(path)
