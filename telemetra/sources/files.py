@@ -100,7 +100,9 @@ class _ArrayReader(DataSourceReader):
                 break
         return [_File(f.path) for f in sorted(found, key=lambda f: -(f.size or 0))]
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file
+            return
         store, _ = _store(self.path)
         kinds = to_arrow_schema(self.schema)
         with store.open_input_file(partition.path) as raw, zipfile.ZipFile(raw) as z:
@@ -299,7 +301,9 @@ class _ShardReader(DataSourceReader):
         store, at = _store(self.path)
         return [_File(f.path) for f in _listed(store, at, ".tar")]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File | None) -> Iterator[tuple]:
+        if partition is None:
+            return
         store, _ = _store(self.path)
         shard = int(re.search(r"(\d+)\.tar$", partition.path)[1])
         with store.open_input_stream(partition.path) as raw, tarfile.open(fileobj=raw, mode="r|") as tar:
