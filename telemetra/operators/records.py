@@ -111,6 +111,41 @@ def deleted(store: DataFrame, ids: DataFrame) -> DataFrame:
     return store.join(ids, "id", "left_anti")
 
 
+def cascaded(demos: DataFrame, results: DataFrame, files: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
+    """What deleting the episodes `gone` (raw_path) leaves and takes: new versions of tables, never changed in place.
+
+    demos: (id, raw_path, converted_path, ...), results: (raw_path, ...), files: (path, ...). An episode takes its rows, the files in its folder and
+    those in the folder of its converted copy. Gives demos, results and files as they then are, `removed` (path) to be deleted,
+    `backup`, the demos as they were, and `unknown` (raw_path): episodes that have neither a row nor a file, for which nothing is done.
+    """
+    gone = gone.select("raw_path").where("raw_path is not null").distinct()
+    theirs = demos.join(gone, "raw_path", "left_semi")
+    raw = gone.select("raw_path", F.col("raw_path").alias("folder"))
+    folders = raw.unionByName(theirs.where("converted_path is not null").select("raw_path", F.col("converted_path").alias("folder"))).distinct()
+    # a file meets the folders above it, of which a path has few
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    met = files.select("path", F.explode(above).alias("folder")).join(folders, "folder")
+    removed = met.select("path").distinct()
+    known = theirs.select("raw_path").unionByName(met.where("folder = raw_path").select("raw_path"))
+    return {
+        "demos": demos.join(gone, "raw_path", "left_anti").select(demos.columns),
+        "results": results.join(gone, "raw_path", "left_anti").select(results.columns),
+        "files": files.join(removed, "path", "left_anti").select(files.columns),
+        "removed": removed,
+        "backup": demos,
+        "unknown": gone.join(known, "raw_path", "left_anti"),
+    }
+
+
+def tracking_states(lines: DataFrame, by: str, order: str, line: str) -> DataFrame:
+    """(by, hand, state): the last state of each hand (r, l) that a headset's report tells; lines without a type or a state say nothing."""
+    hand = F.regexp_extract(line, r"Type:\s+(Right|Left)", 1)
+    state = F.regexp_extract(line, r"TrackingStatus:\s+([A-Z_]+)", 1)
+    told = lines.select(by, order, F.when(hand == "Right", "r").when(hand == "Left", "l").alias("hand"), F.nullif(state, F.lit("")).alias("state"))
+    return told.where("hand is not null and state is not null").groupBy(by, "hand").agg(F.max_by("state", order).alias("state"))
+
+
 def relabelled(store: DataFrame, ids: DataFrame, column: str, value: Column, at: Column) -> DataFrame:
     """The store with one column of the chosen rows set."""
     return updated(store, ids.select("id").distinct().withColumn(column, value), at)

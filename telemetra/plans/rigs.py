@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import rigs
+from ..operators import layouts, records, rigs, summaries
 from .recordings import DEMOS, demos
 from .registry import EVENTS, events, register, table
 
@@ -129,3 +129,50 @@ def base_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean pose of one arm's base seen from the other's, by group."""
     v = table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 4).alias("q"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in ((4, "x"), (5, "y"), (6, "z"))])
     return rigs.base_transform(v, ["label"], "q", ["x", "y", "z"])
+
+
+_HAND = "case when event_id % 5 = 0 then null when event_id % 2 = 0 then 'r' else 'l' end"
+
+
+@register(f"select user_id, hand, arg_max(case event_id % 3 when 0 then 'POSITION' when 1 then 'ORIENTATION' else 'NONE' end, event_id) as state from (select *, {_HAND} as hand from events) where hand is not null group by all")
+def tracking_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last tracking state of each hand; one line in five doesn't tell it."""
+    k = F.col("event_id")
+    state = F.when(k % 3 == 0, "POSITION").when(k % 3 == 1, "ORIENTATION").otherwise("NONE")
+    said = F.concat(F.lit("Paired device: Type:  "), F.when(k % 2 == 0, "Right").otherwise("Left"), F.lit(" Battery: 80, TrackingStatus: "), F.when(k % 5 != 0, state).otherwise("unknown"))
+    return records.tracking_states(table(spark, sf_dir, "events").select("user_id", "event_id", said.alias("line")), "user_id", "event_id", "line")
+
+
+@register("""with d as (select o_orderkey id, 'raw/' || o_custkey || '/' || o_orderkey raw, case when o_orderkey % 3 = 0 then 'conv/' || o_orderkey end conv from orders), g as (select id, raw, conv from d where id % 10 = 7)
+select 'demos' as what, count(*) as n from d where id % 10 <> 7 union all select 'results', count(*) from d where id % 10 <> 7 and id % 2 = 0
+union all select 'files', (select count(*) from d) + (select count(*) from d where conv is not null) - (select count(*) from g) - (select count(*) from g where conv is not null)
+union all select 'removed', (select count(*) from g) + (select count(*) from g where conv is not null) union all select 'backup', count(*) from d union all select 'unknown', 1""")
+def cascading_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows and files deleting one episode in ten leaves and takes, with one that nobody knows."""
+    k = F.col("o_orderkey")
+    d = table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.lit("raw/"), F.col("o_custkey").cast("string"), F.lit("/"), k.cast("string")).alias("raw_path"), F.when(k % 3 == 0, F.concat(F.lit("conv/"), k.cast("string"))).alias("converted_path"))
+    results = d.where("id % 2 = 0").select("raw_path", F.lit("pass").alias("verdict"))
+    files = d.select(F.concat("raw_path", F.lit("/metadata.json")).alias("path")).unionByName(d.where("converted_path is not null").select(F.concat("converted_path", F.lit("/a/b.parquet")).alias("path")))
+    gone = d.where("id % 10 = 7").select("raw_path").unionByName(d.agg(F.lit("raw/nobody/0").alias("raw_path")))
+    return summaries.record_counts(records.cascaded(d, results, files, gone)).withColumnRenamed("name", "what")
+
+
+_PLANE = "select c_nationkey layout, c_custkey k, c_custkey % 11 kind, c_acctbal / 1e4 a from customer qualify row_number() over (partition by c_nationkey, c_custkey % 11 order by c_custkey) = 1 or (c_nationkey % 4 = 3 and c_custkey % 11 = 1)"
+
+
+@register(f"""with p as ({_PLANE}), t as (select n_nationkey layout, 1.0 + n_nationkey / 100 as x1, -0.6 as y0, 0.7 as y1, 0.01 * n_regionkey as z from nation),
+e as (select layout, count(*) filter (kind = 1) ends, count(*) filter (kind = 2) sides, arg_min(a, k) filter (kind = 1) a from p group by all), g as (select e.layout, x1, y0, y1, z, ends, sides, least(-0.2 - e.a / 10, 0.9) nx from e join t using (layout))
+select layout, 'end' as wall, round((nx + x1 + 0.02) / 2, 6) as x, y0 as y, round(z + 0.6, 6) as z, null as problem from g where ends = 1 and sides = 1 union all select layout, 'far end', round((nx + x1 + 0.02) / 2, 6), y1, round(z + 0.6, 6), null from g where ends = 1 and sides = 1
+union all select layout, 'side', round(x1, 6), round((y0 + y1) / 2, 6), round(z + 0.6, 6), null from g where ends = 1 and sides = 1
+union all select p.layout, 'seen', case p.kind when 2 then 0.9 else 0.1 end, case p.kind when 1 then -0.55 else 0 end, round(a, 6), case when not (ends = 1 and sides = 1) then 'expected one end and one side, found ' || ends || ' and ' || sides end from p join g using (layout) where not (ends = 1 and sides = 1) or p.kind not in (1, 2)""")
+def taped_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walls of layouts (nations) from planes (customers), some of which have no end, or several."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("layout"), F.col("c_custkey").alias("k"), (F.col("c_custkey") % 11).alias("kind"), (F.col("c_acctbal") / 1e4).alias("a"))
+    place = F.row_number().over(Window.partitionBy("layout", "kind").orderBy("k"))
+    c = c.withColumn("place", place).where("place = 1 or (layout % 4 = 3 and kind = 1)")
+    triple = lambda x, y, z: F.array(*[v.cast("double") if isinstance(v, Column) else F.lit(float(v)) for v in (x, y, z)])
+    end, side = F.col("kind") == 1, F.col("kind") == 2
+    planes = c.select("layout", F.when(end, triple(0, 1, 0)).when(side, triple(-1, 0, 0)).otherwise(triple(0, 0, 1)).alias("normal"), F.when(end, triple(0.1, -0.55, F.col("a"))).when(side, triple(0.9, 0, F.col("a"))).otherwise(triple(0.1, 0, F.col("a"))).alias("center"), F.when(end, triple(1, 0, 0)).otherwise(triple(0, 1, 0)).alias("u"), F.lit(0.5).alias("offset"), F.array(0.9 + F.col("a") * 0, -0.2 - F.col("a") / 10).alias("extent"), F.array(F.lit(0.0), F.lit(1.0)).alias("z_extent"), triple(1, 1, 1).alias("rgb"), F.col("k").alias("n_points"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("layout"), F.lit(0.0).alias("x0"), (1.0 + F.col("n_nationkey") / 100).alias("x1"), F.lit(-0.6).alias("y0"), F.lit(0.7).alias("y1"), (0.01 * F.col("n_regionkey")).alias("table_z"))
+    out = layouts.taped_walls(planes, n, 1.0, 0.2)
+    return out.select("layout", "wall", *[F.round(F.col("center")[i], 6).alias(x) for i, x in enumerate("xyz")], "problem")
