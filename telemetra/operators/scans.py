@@ -87,11 +87,11 @@ def smoothed(rows: DataFrame, keys: list[str], order: list[str], value: str, alp
     kinds = dict(dealt.dtypes)
     typed = lambda names: ", ".join(f"`{n}` {kinds[n]}" for n in names)
     own = written(scanned(dealt, [*keys, "_s"], order, f"{typed([*keys, *order, '_s'])}, `{value}` double, _left double", lambda: None, step), "smoothed")
-    ends = own.groupBy(*keys, "_s").agg(F.max_by(F.struct(F.col(value).alias("y"), F.col("_left").alias("k")), F.struct(*order)).alias("e"))
+    ends = own.groupBy(*keys, "_s").agg(F.max_by(F.struct(F.col(value).alias("y"), F.col("_left").alias("k")), F.struct(*order)).alias("_end"))
 
     def follow(before: float | None, part: pa.RecordBatch) -> tuple[float | None, pa.RecordBatch]:
         told = []
-        for e in part.column("e").to_pylist():
+        for e in part.column("_end").to_pylist():
             told.append(before)
             before = e["y"] + e["k"] * before if e["k"] and before is not None else e["y"]
         return before, pa.RecordBatch.from_arrays([*[part.column(n) for n in [*keys, "_s"]], pa.array(told, pa.float64())], [*keys, "_s", "_before"])

@@ -21,13 +21,13 @@ def test_smoothed(spark, stretch):
     episodes = {k: [None if rng.random() < 0.15 else float(x) for x in rng.normal(size=n)] for k, n in ((1, 40), (2, 1), (3, 17), (None, 9))}
     episodes[4] = [None, None, None]
     rows = [(k, i, v, "x") for k, vs in episodes.items() for i, v in enumerate(vs)]
-    df = spark.createDataFrame(rows, "k long, i long, v double, y string").repartition(5)
-    got = {(r.k, r.i): r.v for r in scans.smoothed(df, ["k"], ["i"], "v", 0.3, stretch).collect()}
+    df = spark.createDataFrame(rows, "e long, i long, v double, y string").repartition(5)
+    got = {(r.e, r.i): r.v for r in scans.smoothed(df, ["e"], ["i"], "v", 0.3, stretch).collect()}
     assert len(got) == len(rows)
     for k, vs in episodes.items():
         for i, want in enumerate(plain_smoothed(vs, 0.3)):
             assert got[k, i] == want if want is None else abs(got[k, i] - want) < 1e-12
-    assert scans.smoothed(df.where("k > 99"), ["k"], ["i"], "v", 0.3).count() == 0
+    assert scans.smoothed(df.where("e > 99"), ["e"], ["i"], "v", 0.3).count() == 0
 
 
 def rotation(rng):
