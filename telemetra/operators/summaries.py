@@ -1,4 +1,4 @@
-"""Statistics and reports. All but `moments` on small groups are sums of partial sums, so no group is gathered."""
+"""Statistics and reports: sums of partial sums and order statistics by counts, so no group is gathered."""
 
 from __future__ import annotations
 
@@ -14,11 +14,15 @@ PERCENTS = (1, 2, 5, 95, 98, 99)
 BUCKETS = 64
 
 
-def moments(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, mean, std (of a sample), min and max, and exact percentiles, of groups whose distinct values fit in a task."""
+def moments(rows: DataFrame, by: list[str], value: str, percents: tuple[int, ...] = ()) -> DataFrame:
+    """count, mean, std (of a sample), min and max of groups of any size, and the exact `percents` as p01 and so on; null groups are groups."""
     out = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
-    found = rows.groupBy(*by).agg(*out, F.percentile(value, F.array(*[F.lit(p / 100) for p in PERCENTS])).alias("_p"))
-    return found.select("*", *[F.col("_p")[k].alias(f"p{p:02d}") for k, p in enumerate(PERCENTS)]).drop("_p")
+    found = rows.groupBy(*by).agg(*out)
+    if not percents:
+        return found
+    keyed = rows.select(F.struct(*by).alias("_by"), F.col(value).alias("_v"))
+    each = percentiles(keyed, ["_by"], "_v", percents).groupBy("_by").agg(*[F.max(F.when(F.col("percent") == p, F.col("_v"))).alias(f"p{p:02d}") for p in percents])
+    return found.join(each, F.struct(*by) == F.col("_by"), "left").drop("_by")
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, percents: tuple[float, ...] = PERCENTS) -> DataFrame:

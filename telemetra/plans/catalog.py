@@ -98,7 +98,7 @@ _PCT = ", ".join(f"round(quantile_cont(value, {p / 100}), 6) as p{p:02d}" for p
 
 @register(f"select event_type, count(value) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, min(value) as min, max(value) as max, {_PCT} from events group by all")
 def value_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = summaries.moments(events(spark, sf_dir), ["event_type"], "value")
+    m = summaries.moments(events(spark, sf_dir), ["event_type"], "value", summaries.PERCENTS)
     return m.withColumns({c: F.round(c, 6) for c in ["mean", "std", *[f"p{p:02d}" for p in summaries.PERCENTS]]})
 
 
