@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from ..operators import summaries
@@ -10,7 +10,21 @@ from ..operators import summaries
 
 def telemetry(rows: DataFrame, path: str) -> None:
     """Telemetry by task and episode, an episode's samples in order in one file."""
-    rows.repartition("task", "episode").sortWithinPartitions("task", "episode", "t_ns").write.partitionBy("task", "episode").mode("overwrite").parquet(path)
+    _by_episode(rows, "t_ns").parquet(path)
+
+
+def lowdim(frames: DataFrame, path: str) -> None:
+    """Frames by task and episode, in order in one file; `operators.frames.built` makes them."""
+    _by_episode(frames, "frame_idx").parquet(path)
+
+
+def documents(rows: DataFrame, path: str) -> None:
+    """JSON documents (task, episode, json), one to an episode, each in its folder."""
+    _by_episode(rows.select("task", "episode", "json"), "json").text(path)
+
+
+def _by_episode(rows: DataFrame, order: str) -> DataFrameWriter:
+    return rows.repartition("task", "episode").sortWithinPartitions("task", "episode", order).write.partitionBy("task", "episode").mode("overwrite")
 
 
 def seven(rows: DataFrame) -> DataFrame:
@@ -98,6 +112,22 @@ def calibration(cameras: DataFrame, extra: dict[str, Column]) -> DataFrame:
     return both.select(F.to_json(F.struct(*[v.alias(k) for k, v in extra.items()], "cameras")).alias("json"))
 
 
+def calibration_results(cameras: DataFrame, version: str = "1.0") -> DataFrame:
+    """(task, episode, json) as `sources.episodes.calibrations` reads it, from (task, episode, camera, hand_eye, extrinsics, success) with 4x4 poses.
+
+    A camera without a pose of one kind has none in the document; an episode's cameras stand in order of their names.
+    """
+
+    def said(pose: str) -> list[Column]:
+        rows = F.when(F.col(pose).isNotNull(), F.array(*[F.slice(pose, 4 * k + 1, 3) for k in range(3)]))
+        return [rows.alias("rotation_matrix"), F.when(F.col(pose).isNotNull(), F.array(*[F.col(pose)[k] for k in (3, 7, 11)])).alias("translation_vector")]
+
+    fixed = F.struct(F.col("success"), *said("extrinsics"))
+    entry = F.struct("camera", F.struct(F.struct(*said("hand_eye")).alias("hand_eye_calibration"), fixed.alias("extrinsics")).alias("c"))
+    rigs = cameras.groupBy("task", "episode").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("cameras"))  # a rig has a few cameras
+    return rigs.select("task", "episode", F.to_json(F.struct(F.lit(version).alias("version"), "cameras")).alias("json"))
+
+
 def patched(document: Column, changes: dict[str, Column]) -> Column:
     """A JSON object of plain values with some of them set anew."""
     said = F.from_json(document, "map<string,string>")

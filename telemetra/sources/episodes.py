@@ -1,4 +1,7 @@
-"""Tables of an episode store on any file system that Spark reads: <root>/<task>/<episode>/... with JSON documents and Parquet tables."""
+"""Tables of an episode store on any file system that Spark reads: <root>/<task>/<episode>/... with JSON documents and Parquet tables.
+
+Folders may also bear the names that partitioned writes give them (task=<task>/episode=<episode>), as `sinks.datasets` does.
+"""
 
 from __future__ import annotations
 
@@ -13,17 +16,22 @@ TELEMETRY = "t_ns bigint, sample_idx int, arm string, joint_pos array<float>, jo
 LOWDIM = "frame_idx int, t_ns bigint, joints array<float>, action array<float>, actual_poses array<float>, action_joints array<float>, extrinsics map<string,array<float>>, intrinsics map<string,array<float>>, language_task string, language_prompt string, table_pose array<float>"
 
 
+def _folder(path: Column, up: int, name: str) -> Column:
+    """The name of the folder `up` levels above a file, without `name=`."""
+    parts = F.split(path, "/")
+    return F.regexp_replace(parts[F.size(parts) - up - 1], f"^{name}=", "")
+
+
 def _placed(df: DataFrame, depth: int) -> DataFrame:
     """`df` with task and episode from the path, whose file lies `depth` levels below the episode."""
-    path = F.split(F.col("_metadata.file_path"), "/")
-    return df.select("*", path[F.size(path) - depth - 2].alias("task"), path[F.size(path) - depth - 1].alias("episode"))
+    path = F.col("_metadata.file_path")
+    return df.select("*", _folder(path, depth + 1, "task").alias("task"), _folder(path, depth, "episode").alias("episode"))
 
 
 def listing(spark: SparkSession, root: str, file: str) -> DataFrame:
     """(task, episode, modified): the episodes that hold a file of this name; only the listing is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", file).option("recursiveFileLookup", "true").load(root)
-    path = F.split("path", "/")
-    return files.select(path[F.size(path) - 3].alias("task"), path[F.size(path) - 2].alias("episode"), F.col("modificationTime").alias("modified"))
+    return files.select(_folder(F.col("path"), 2, "task").alias("task"), _folder(F.col("path"), 1, "episode").alias("episode"), F.col("modificationTime").alias("modified"))
 
 
 def tasks(spark: SparkSession, root: str, file: str) -> DataFrame:
@@ -38,13 +46,13 @@ def documents(spark: SparkSession, root: str, file: str, schema: str) -> DataFra
     return _placed(read.option("pathGlobFilter", file).option("recursiveFileLookup", "true").json(root), 1)
 
 
-def recordings(spark: SparkSession, root: str) -> DataFrame:
-    return documents(spark, root, "metadata.json", RECORDING)
+def recordings(spark: SparkSession, root: str, file: str = "metadata.json") -> DataFrame:
+    return documents(spark, root, file, RECORDING)
 
 
-def calibrations(spark: SparkSession, root: str) -> DataFrame:
+def calibrations(spark: SparkSession, root: str, file: str = "calibration_results.json") -> DataFrame:
     """(task, episode, camera, hand_eye, extrinsics, success) with 4x4 poses; one row for each camera."""
-    rows = documents(spark, root, "calibration_results.json", CALIBRATION).select("task", "episode", F.explode("cameras").alias("camera", "c"))
+    rows = documents(spark, root, file, CALIBRATION).select("task", "episode", F.explode("cameras").alias("camera", "c"))
     return rows.select("task", "episode", "camera", matrix(F.col("c.hand_eye_calibration")).alias("hand_eye"), matrix(F.col("c.extrinsics")).alias("extrinsics"), F.coalesce("c.extrinsics.success", F.lit(False)).alias("success"))
 
 
@@ -72,12 +80,12 @@ def table(spark: SparkSession, root: str, file: str, schema: str, required: list
     return rows
 
 
-def telemetry(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "robot_data.parquet", TELEMETRY, ["t_ns"])
+def telemetry(spark: SparkSession, root: str, file: str = "robot_data.parquet") -> DataFrame:
+    return table(spark, root, file, TELEMETRY, ["t_ns"])
 
 
-def lowdim(spark: SparkSession, root: str, required: list[str] | None = None) -> DataFrame:
-    return table(spark, root, "lowdim.parquet", LOWDIM, required)
+def lowdim(spark: SparkSession, root: str, required: list[str] | None = None, file: str = "lowdim.parquet") -> DataFrame:
+    return table(spark, root, file, LOWDIM, required)
 
 
 def merged(logs: list[DataFrame], t: str) -> DataFrame:
