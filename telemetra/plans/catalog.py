@@ -152,4 +152,4 @@ def rigid_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.round(p[0], 6).alias("x"), F.round(p[1], 6).alias("y"), ((off < 1e-6) & (geometry.rotation_skew(F.col("pose")) < 1e-6)).alias("sound"))
 
 
-from . import archives, poses, recordings, rigs, signals, space, stores, streams  # noqa: E402, F401
+from . import archives, poses, recordings, rigs, signals, space, stores, streams, verdicts  # noqa: E402, F401
