@@ -40,26 +40,42 @@ BACK_OFF = 5.0
 MARGIN = 1.0
 
 
+#: Steps that one fold adds up at least.
+BLOCK = 64
+
+
+def _starts(steps: Column) -> Column:
+    """Where each match starts, from (g, n): the characters before it since the last match, and its own.
+
+    A fold copies its array at each step, so it goes over blocks of the root of their number, and over the blocks' sums.
+    """
+    size = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(steps))).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / size).cast("int")), lambda k: F.slice(steps, k * size + 1, size))
+    sums = F.transform(blocks, lambda b: F.struct(F.lit(0).alias("g"), F.aggregate(b, F.lit(0), lambda s, x: s + x["g"] + x["n"]).alias("n")))
+    return F.when(F.size(steps) > 0, F.flatten(F.zip_with(blocks, _folded(sums, F.lit(0)), _folded)))
+
+
+def _folded(steps: Column, begin: Column) -> Column:
+    state = F.struct(F.array().cast("array<int>").alias("starts"), begin.alias("at"))
+    add = lambda s, x: F.struct(F.concat(s["starts"], F.array(s["at"] + x["g"])).alias("starts"), (s["at"] + x["g"] + x["n"]).alias("at"))
+    return F.aggregate(steps, state, add)["starts"]
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of the leftmost non-overlapping matches of `pattern`."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(values, F.length)
-    empty = F.array().cast("array<int>")
-    # running sums by a fold whose state is the array of starts so far and the place reached
-    folded = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(values)), sizes, lambda g, n: F.struct(g.alias("g"), n.alias("n"))),
-        F.struct(empty.alias("starts"), F.lit(0).alias("at")),
-        lambda s, x: F.struct(F.concat(s["starts"], F.array(s["at"] + x["g"])).alias("starts"), (s["at"] + x["g"] + x["n"]).alias("at")),
-    )["starts"]
+    steps = F.zip_with(F.slice(gaps, 1, F.size(values)), F.transform(values, F.length), lambda g, n: F.struct(g.alias("g"), n.alias("n")))
+    folded = F.transform(F.array(steps), _starts)[0]  # a variable, so that no block finds the matches anew
     made = F.zip_with(folded, values, lambda a, v: F.struct(a.alias("start"), (a + F.length(v)).alias("end"), v.alias("value")))
     return F.when(F.size(values) > 0, made).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
 def _pairs(tokens: DataFrame) -> DataFrame:
-    """(pair, n): counts of character pairs over a column `value`."""
+    """(pair, n): counts of character pairs over a column `value`; equal values are counted before their pairs."""
     two = F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2)))
-    return tokens.where(F.length("value") > 1).select(F.explode(two).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    values = tokens.where(F.length("value") > 1).groupBy("value").agg(F.count("*").alias("c"))
+    return values.select("c", F.explode(two).alias("pair")).groupBy("pair").agg(F.sum("c").alias("n"))
 
 
 def base(docs: DataFrame) -> DataFrame:
