@@ -65,8 +65,8 @@ def store_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     datasets.documents(_recorded(spark, sf_dir).where("s_suppkey % 3 <> 0").select("task", "episode", F.lit("{}").alias("json")), done)
     found, made = episodes.listing(spark, raw, "*.txt"), episodes.listing(spark, done, "*.txt")
     left = records.to_do(found.select("task", "episode"), made.select("task", "episode"), ["task", "episode"]).groupBy("task").agg(F.min("episode").alias("next"))
-    counted = episodes.tasks(spark, done, "*.txt").select("task", F.col("episodes").alias("converted"))
-    out = episodes.tasks(spark, raw, "*.txt").join(counted, "task", "left").join(left, "task", "left")
+    counted = episodes.by_task(made).select("task", F.col("episodes").alias("converted"))
+    out = episodes.by_task(found).join(counted, "task", "left").join(left, "task", "left")
     return out.select("task", "episodes", F.coalesce("converted", F.lit(0)).cast("long").alias("converted"), "next")
 
 

@@ -36,8 +36,12 @@ def listing(spark: SparkSession, root: str, file: str) -> DataFrame:
 
 def tasks(spark: SparkSession, root: str, file: str) -> DataFrame:
     """(task, episodes, modified) of the tasks with such episodes, the last changed first."""
-    found = listing(spark, root, file).groupBy("task").agg(F.count("*").alias("episodes"), F.max("modified").alias("modified"))
-    return found.orderBy(F.desc("modified"), "task")
+    return by_task(listing(spark, root, file)).orderBy(F.desc("modified"), "task")
+
+
+def by_task(found: DataFrame) -> DataFrame:
+    """(task, episodes, modified) of a listing."""
+    return found.groupBy("task").agg(F.count("*").alias("episodes"), F.max("modified").alias("modified"))
 
 
 def documents(spark: SparkSession, root: str, file: str, schema: str) -> DataFrame:
