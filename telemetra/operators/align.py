@@ -45,6 +45,18 @@ def binarised(x: Column, at: float = 0.5) -> Column:
     return F.when(x >= at, 1.0).when(x < at, 0.0)
 
 
+#: Fixed value: the least share of a gripper's stroke that a motor is told, 20 of 95 mm.
+LEAST_OPENING = 20.0 / 95.0
+
+
+def opening(x: Column, least: float = LEAST_OPENING) -> Column:
+    """What the motor of a gripper is told: never closed below `least`, never past open; null for null or NaN.
+
+    Only the motor is told this. Recorded actions are `binarised`, so that nothing learns the limit.
+    """
+    return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(least), F.least(x, F.lit(1.0))))
+
+
 def held(grid: DataFrame, samples: DataFrame, key: str, t: str, value: str, period: int, bucket: int | None = None) -> DataFrame:
     """The last sample with time at most half a period after each grid row, or else the first one."""
     shifted = samples.select(key, (F.col(t) - period // 2).alias(t), value)

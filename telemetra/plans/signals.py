@@ -311,3 +311,13 @@ def lockstep_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks and views of an episode paired by elapsed time, within six hours."""
     e = events(spark, sf_dir).where("event_type in ('click', 'view')")
     return scans.lockstep(e, "user_id", "event_type", "t", 6 * HOUR)
+
+
+@register("select event_id, case when value / 100 >= 0.5 then 1.0 else 0.0 end::double as recorded, round(greatest(20 / 95.0, least(value / 100, 1.0)), 9) as told from events where value is not null")
+def gripper_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gripper's signal as it is recorded, open or closed, and as its motor is told it, within limits."""
+    from ..operators.align import binarised, opening
+
+    x = F.col("value") / 100
+    e = table(spark, sf_dir, "events").where("value is not null")
+    return e.select("event_id", binarised(x).alias("recorded"), F.round(opening(x), 9).alias("told"))

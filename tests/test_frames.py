@@ -80,3 +80,11 @@ def test_recordings_without_commands(spark):
         frames.built(f, tel, none, none).collect()
     r = frames.built(f, tel.withColumn("joint_cmd", F.array_repeat(F.lit(0.7), 7)), none, none).first()
     assert r.joints == [0.0] * 6 + [0.5] and r.action_joints[6] == 1.0 and r.intrinsics is None and r.language_task is None
+
+
+def test_openings(spark):
+    from telemetra.operators.align import LEAST_OPENING, opening
+
+    values = [-1.0, 0.0, 0.2, 0.5, 1.0, 2.0, None, float("nan"), float("inf")]
+    got = [r.o for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(opening(F.col("v")).alias("o")).collect()]
+    assert got == [LEAST_OPENING] * 3 + [0.5, 1.0, 1.0, None, None, 1.0]
