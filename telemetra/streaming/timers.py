@@ -25,8 +25,11 @@ Due = Callable[[Memory], int | None]
 OnTime = Callable[[Memory], tuple[Memory | None, list[tuple]]]
 
 
-def timed(stream: DataFrame, key: str, ts: str, values: list[str], out: str, on_row: OnRow, due: Due, on_time: OnTime) -> DataFrame:
-    """(key, *out): what `on_row` and `on_time` give; `stream` has its watermark on the timestamp `ts`. A new key's memory is None."""
+def timed(stream: DataFrame, key: str, ts: str, values: list[str], out: str, on_row: OnRow, due: Due, on_time: OnTime, known: bool = False) -> DataFrame:
+    """(key, *out): what `on_row` and `on_time` give; `stream` has its watermark on the timestamp `ts`. A new key's memory is None.
+
+    With `known`, rows with a null among `values` move the watermark and do nothing else.
+    """
     names = [part.split()[0] for part in out.split(", ")]
     kind = dict(stream.dtypes)[key]
 
@@ -44,6 +47,7 @@ def timed(stream: DataFrame, key: str, ts: str, values: list[str], out: str, on_
         mark = state.getCurrentWatermarkMs()
         if not state.hasTimedOut:
             rows = pd.concat(list(frames))
+            rows = rows.dropna(subset=values) if known else rows  # not before: a filter would be pushed below the watermark
             rows = rows.assign(**{"": rows[ts].astype("datetime64[ms]").astype("int64")}).sort_values(["", *values], kind="stable")
             for t, *row in rows[["", *values]].itertuples(index=False, name=None):
                 # Spark's own filter of late rows is a trigger behind
@@ -93,20 +97,18 @@ def silence(stream: DataFrame, key: str, ts: str, hold: int, warn: int, forget:
 def commanded(stream: DataFrame, key: str, ts: str, action: str, period: int, forget: int) -> DataFrame:
     """(key, at, command, state): each action as `new` at its time, and `held` when none has replaced it for a period.
 
-    An action replaces the one before, it doesn't queue behind it; a null action is none. After `forget` milliseconds
-    without an action a key is forgotten.
+    An action replaces the one before, it doesn't queue behind it; a null action is none, and doesn't tell that a period
+    is over before the watermark does. After `forget` milliseconds without an action a key is forgotten.
     """
 
     def on_row(memory, t: int, row: tuple):
-        if pd.isna(row[0]):
-            return memory, []
         return [t, float(row[0]), 0], [(_at(t), float(row[0]), "new")]
 
     def on_time(memory):
         t, a, told = memory
         return (None, []) if told else ([t, a, 1], [(_at(t + period), a, "held")])
 
-    return timed(stream, key, ts, [action], "at timestamp_ntz, command double, state string", on_row, lambda m: m[0] + (forget if m[2] else period), on_time)
+    return timed(stream, key, ts, [action], "at timestamp_ntz, command double, state string", on_row, lambda m: m[0] + (forget if m[2] else period), on_time, known=True)
 
 
 def limited(stream: DataFrame, key: str, ts: str, every: int) -> DataFrame:

@@ -83,3 +83,12 @@ def test_late_rows_change_nothing(spark, tmp_path):
     zone = got[0][1] - 10_800
     # the row at 9.5 s is older than the newest one; that at 12 s comes when the watermark is at 39 s
     assert [(k, t - zone, s) for k, t, s in got] == [("a", 10_800, "hold"), ("a", 12_300, "warn"), ("b", 10_500, "hold"), ("b", 12_000, "warn")]
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_null_actions_hold_nothing(spark, tmp_path, batches):
+    # the watermark ends at 11.2 s: before 11.5 s, when a's command would be held, and which only rows without an action have passed
+    rows = [("a", 10_500, 1.0), ("b", 10_000, 2.0), ("a", 12_000, None), ("b", 12_100, None), ("b", 12_150, 3.0), ("c", 12_200, None)]
+    got, left = run(spark, tmp_path, rows, batches, lambda s: timers.commanded(s, "k", "ts", "v", 1000, FORGET), f"nulls{batches}")
+    zone = got[0][1] - 10_500
+    assert [(k, t - zone, v, s) for k, t, v, s in got] == [("a", 10_500, 1.0, "new"), ("b", 10_000, 2.0, "new"), ("b", 11_000, 2.0, "held"), ("b", 12_150, 3.0, "new")] and left == 2
