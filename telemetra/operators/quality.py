@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
+
 Box = tuple[float, float, float, float]
 
 
@@ -25,7 +27,7 @@ def placement(x: Column, y: Column, inner: Box, outer: Box, radius: float) -> tu
 
 def placement_reasons(x: Column, y: Column, inner: Box, outer: Box, radius: float) -> list[tuple[Column, Column]]:
     centre, whole = placement(x, y, inner, outer, radius)
-    at = F.format_string("(%.3f, %+.3f)", F.bround(x, 3), F.bround(y, 3))
+    at = F.format_string("(%.3f, %+.3f)", rounded(x, 3), rounded(y, 3))
     return [
         (x.isNull() | y.isNull(), F.lit("not found")),
         (~centre, F.concat(F.lit("centre "), at, F.lit(" outside the inner box"))),
@@ -49,7 +51,7 @@ def unlocked(got: Column, want: Column, within: float = 0.5) -> Column:
 
 
 def range_reason(name: str, x: Column, low: float, high: float) -> tuple[Column, Column]:
-    return ~F.coalesce(x, F.lit(0.0)).between(low, high), F.format_string(f"{name} %.1f outside [{low}, {high}]", F.bround(F.coalesce(x, F.lit(0.0)), 1))
+    return ~F.coalesce(x, F.lit(0.0)).between(low, high), F.format_string(f"{name} %.1f outside [{low}, {high}]", rounded(F.coalesce(x, F.lit(0.0)), 1))
 
 
 def closes_reason(closes: Column, expected: int, few: str, many: str) -> tuple[Column, Column]:
@@ -59,7 +61,7 @@ def closes_reason(closes: Column, expected: int, few: str, many: str) -> tuple[C
 
 def moved_reason(x0: Column, y0: Column, x1: Column, y1: Column, most: float) -> tuple[Column, Column]:
     way = F.hypot(x1 - x0, y1 - y0)
-    return way > most, F.format_string("moved %.0f mm", F.bround(way * 1000, 0))
+    return way > most, F.format_string("moved %.0f mm", rounded(way * 1000, 0))
 
 
 def linted(episodes: DataFrame, rows: DataFrame, key: str, t: str, value: str, gap: int, span: float) -> DataFrame:
@@ -73,7 +75,7 @@ def linted(episodes: DataFrame, rows: DataFrame, key: str, t: str, value: str, g
     out = episodes.join(stats, key, "left")
     rules = [
         (~F.coalesce("complete", F.lit(True)), F.lit("cut short")),
-        (F.col("duration_s") < 15, F.format_string("only %.1f s long", F.bround("duration_s", 1))),
+        (F.col("duration_s") < 15, F.format_string("only %.1f s long", rounded(F.col("duration_s"), 1))),
         (F.col("status") == "pending", F.lit("no verdict")),
         (F.col("n_rows") > 1, F.lit("duplicate rows")),
         (F.col("_samples").isNull(), F.lit("no telemetry")),

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from . import quality, summaries, windows
 
 Box = tuple[float, float, float, float]
@@ -58,7 +59,7 @@ def _wrist(mean: Column, tips: Column, s: Settings) -> list[tuple[Column, Column
     tip = lambda k: F.try_element_at(tips, F.lit(k + 1))
     off = [(seen & (F.abs(tip(k) - row) > s.most_tip), F.concat(F.lit(f"wrist: {name} tip row "), tip(k).cast("string"), F.lit(f" vs {row} (camera slipped?)"))) for k, (name, row) in enumerate(zip(s.tip_names, s.tips))]
     none = F.coalesce(~F.exists(tips, lambda x: x.isNotNull()), F.lit(True))
-    dark = F.concat(F.format_string("wrist brightness %.0f", F.bround(mean)), F.lit(f" < {s.least_wrist:.0f} (camera slipped?)"))
+    dark = F.concat(F.format_string("wrist brightness %.0f", rounded(mean)), F.lit(f" < {s.least_wrist:.0f} (camera slipped?)"))
     return [(~seen, F.lit("wrist frame unreadable")), *off, (seen & none, F.lit("wrist: no fingertip found (camera slipped?)")), (mean < s.least_wrist, dark)]
 
 
@@ -66,22 +67,22 @@ def _scene(mean: Column, at: Column, fixture: Column, moved: Column, s: Settings
     """Rules of the scene's first frame; where it can't be read, that is all there is to say, but for what moved."""
     seen = mean.isNotNull()
     thing, big = s.names
-    place = lambda p: F.format_string("(%.3f, %+.3f)", F.bround(p[0], 3), F.bround(p[1], 3))
+    place = lambda p: F.format_string("(%.3f, %+.3f)", rounded(p[0], 3), rounded(p[1], 3))
     centre, whole = quality.placement(at[0], at[1], s.inner, s.outer, s.radius)
     x0, x1, y0, y1 = s.fixture
     inside = quality.inside(fixture[0], fixture[1], s.outer, s.footprint)
     way = F.hypot(moved["dx"], moved["dy"])
-    hidden = F.when(moved["length_s"] - moved["seen_s"] > 3, F.format_string(" by %.0f s, hidden for the last %.0f s", F.bround(moved["seen_s"]), F.bround(moved["length_s"] - moved["seen_s"]))).otherwise("")
-    went = F.format_string(f"{big} moved %.0f mm (x %+.0f, y %+.0f mm)", F.bround(way * 1000), F.bround(moved["dx"] * 1000), F.bround(moved["dy"] * 1000))
+    hidden = F.when(moved["length_s"] - moved["seen_s"] > 3, F.format_string(" by %.0f s, hidden for the last %.0f s", rounded(moved["seen_s"]), rounded(moved["length_s"] - moved["seen_s"]))).otherwise("")
+    went = F.format_string(f"{big} moved %.0f mm (x %+.0f, y %+.0f mm)", rounded(way * 1000), rounded(moved["dx"] * 1000), rounded(moved["dy"] * 1000))
     return [
         (~seen, F.lit("scene frame unreadable")),
-        (~mean.between(*s.scene), F.concat(F.format_string("scene brightness %.0f", F.bround(mean)), F.lit(f" outside {s.scene}"))),
+        (~mean.between(*s.scene), F.concat(F.format_string("scene brightness %.0f", rounded(mean)), F.lit(f" outside {s.scene}"))),
         (seen & at.isNull(), F.lit(f"{thing} not found in the first scene frame")),
         (seen & ~centre, F.concat(F.lit(f"{thing} centre "), place(at), F.lit(" outside the inner box"))),
         (seen & ~whole, F.concat(F.lit(f"{thing} "), place(at), F.lit(" may cross the outer box"))),
         (seen & fixture.isNull(), F.lit(f"{big} not found in the first scene frame")),
-        (seen & ~fixture[0].between(x0 - s.x_slack, x1 + s.x_slack), F.format_string(f"{big} x %.3f, sim {(x0 + x1) / 2:.3f} (> {s.x_slack * 1000:.0f} mm off)", F.bround(fixture[0], 3))),
-        (seen & ~fixture[1].between(y0, y1), F.format_string(f"{big} y %+.3f outside the sim's ±{y1:.3f}", F.bround(fixture[1], 3))),
+        (seen & ~fixture[0].between(x0 - s.x_slack, x1 + s.x_slack), F.format_string(f"{big} x %.3f, sim {(x0 + x1) / 2:.3f} (> {s.x_slack * 1000:.0f} mm off)", rounded(fixture[0], 3))),
+        (seen & ~fixture[1].between(y0, y1), F.format_string(f"{big} y %+.3f outside the sim's ±{y1:.3f}", rounded(fixture[1], 3))),
         (seen & ~inside, F.concat(F.lit(f"{big} "), place(fixture), F.lit(" crosses the outer box"))),
         (seen & (way > s.moved), F.concat(went, hidden)),
     ]
@@ -110,8 +111,8 @@ def checked(episodes: DataFrame, telemetry: DataFrame, key: str, t: str, s: Sett
     out = out.withColumns({"closes": F.coalesce("closes", F.lit(0)), "pauses": F.coalesce("pauses", F.array().cast("array<struct<start_s:double,length_s:double>>"))})
     few, many = f"{s.names[0]} not grasped?", "grasped again?"
     first = quality.reasons([*_controls(F.col("controls"), s), *_wrist(F.col("wrist_mean"), F.col("tips"), s), *_scene(F.col("scene_mean"), F.col("at"), F.col("fixture"), F.col("moved"), s), _closes(F.col("closes"), s.closes, few, many)])
-    waited = F.transform("pauses", lambda p: F.format_string("pause %.1f s at %.1f s", F.bround(p["length_s"], 1), F.bround(p["start_s"], 1)))
-    far = F.format_string("duration outlier (%.1f s vs median %.1f s)", F.bround("duration_s", 1), F.bround("others", 1))
+    waited = F.transform("pauses", lambda p: F.format_string("pause %.1f s at %.1f s", rounded(p["length_s"], 1), rounded(p["start_s"], 1)))
+    far = F.format_string("duration outlier (%.1f s vs median %.1f s)", rounded(F.col("duration_s"), 1), rounded(F.col("others"), 1))
     last = quality.reasons([quality.range_reason("duration", F.col("duration_s"), *s.seconds), (F.col("others").isNotNull(), far)])
     return out.withColumn("reasons", F.concat(first, waited, last)).drop("others")
 
@@ -133,7 +134,7 @@ def linted(episodes: DataFrame, telemetry: DataFrame, key: str, t: str, ceilings
     count = F.size(F.coalesce("statuses", F.array().cast("array<string>")))
     head = quality.reasons([
         (~F.coalesce("complete", F.lit(True)), F.lit("complete=False: this recording was cut short")),
-        (e("duration_s") < short, F.format_string("only %.1f s long", F.bround("duration_s", 1))),
+        (e("duration_s") < short, F.format_string("only %.1f s long", rounded(F.col("duration_s"), 1))),
         ((count == 1) & F.lower(e("statuses")[0]).startswith("pending") | (count > 1) & F.exists("statuses", lambda x: F.lower(x).contains("pending")), F.lit("no verdict recorded (pending)")),
         (count > 1, F.lit("duplicate rows of this path")),
     ])
@@ -149,10 +150,10 @@ def linted(episodes: DataFrame, telemetry: DataFrame, key: str, t: str, ceilings
     arms = per.join(p99, [key, "arm"], "left").select(key, "arm", quality.reasons([
         (e("reach") < span, F.concat("arm", F.lit(f": the arm barely moved (max joint range < {span} rad)"))),
         ((e("gripped") > 0) & (e("shut") < least), F.concat("arm", F.lit(": gripper never commanded closed, so nothing was grasped"))),
-        (enough & ~near, F.concat("arm", F.format_string(": gripper lag p99 %+.4f matches no known clamp ceiling", F.bround("p99", 4)))),
+        (enough & ~near, F.concat("arm", F.format_string(": gripper lag p99 %+.4f matches no known clamp ceiling", rounded(F.col("p99"), 4)))),
     ]).alias("said"))
     said = arms.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("arm", "said"))), lambda x: x["said"])).alias("of_arms"))  # a few arms
     out = episodes.join(gaps, key, "left").join(said, key, "left")
-    late = quality.reasons([(e("widest") > gap, F.format_string("%.0f ms gap in robot telemetry", F.bround(e("widest") * 1000)))])
+    late = quality.reasons([(e("widest") > gap, F.format_string("%.0f ms gap in robot telemetry", rounded(e("widest") * 1000)))])
     tail = F.when(e("of_arms").isNull(), F.array(F.lit("no telemetry at all"))).otherwise(F.concat(late, e("of_arms")))
     return out.select(key, F.concat(head, missing, tail).alias("warnings"))
