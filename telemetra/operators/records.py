@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from .summaries import first_wins, later_wins, numbered
 
 
@@ -118,23 +119,25 @@ def cascaded(demos: DataFrame, results: DataFrame, files: DataFrame, gone: DataF
     those in the folder of its converted copy. Gives demos, results and files as they then are, `removed` (path) to be deleted,
     `backup`, the demos as they were, and `unknown` (raw_path): episodes that have neither a row nor a file, for which nothing is done.
     """
-    gone = gone.select("raw_path").where("raw_path is not null").distinct()
+    # Half of a store may go, so no side of a join is broadcast: tables that look small on disk would come to lie in the driver, several at once.
+    by_sorting = lambda df: df.hint("merge")
+    gone = by_sorting(written(gone.select("raw_path").where("raw_path is not null").distinct(), "gone"))
     theirs = demos.join(gone, "raw_path", "left_semi")
     raw = gone.select("raw_path", F.col("raw_path").alias("folder"))
     folders = raw.unionByName(theirs.where("converted_path is not null").select("raw_path", F.col("converted_path").alias("folder"))).distinct()
     # a file meets the folders above it, of which a path has few
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    met = files.select("path", F.explode(above).alias("folder")).join(folders, "folder")
-    removed = met.select("path").distinct()
+    met = written(files.select("path", F.explode(above).alias("folder")).join(by_sorting(folders), "folder"), "met")
+    removed = written(met.select("path").distinct(), "removed")
     known = theirs.select("raw_path").unionByName(met.where("folder = raw_path").select("raw_path"))
     return {
         "demos": demos.join(gone, "raw_path", "left_anti").select(demos.columns),
         "results": results.join(gone, "raw_path", "left_anti").select(results.columns),
-        "files": files.join(removed, "path", "left_anti").select(files.columns),
+        "files": files.join(by_sorting(removed), "path", "left_anti").select(files.columns),
         "removed": removed,
         "backup": demos,
-        "unknown": gone.join(known, "raw_path", "left_anti"),
+        "unknown": gone.join(by_sorting(known), "raw_path", "left_anti"),
     }
 
 

@@ -42,6 +42,17 @@ def test_cascaded(spark):
     assert same["demos"].count() == 4 and same["files"].count() == 8 and same["removed"].count() == 0
 
 
+def test_cascaded_broadcasts_nothing(spark):
+    """Tables that seem small on disk stay out of the driver."""
+    demos = spark.range(50).selectExpr("id", "concat('raw/', id) raw_path", "if(id % 3 = 0, concat('conv/', id), null) converted_path")
+    files = demos.selectExpr("concat(raw_path, '/a') path")
+    out = records.cascaded(demos, demos.select("raw_path"), files, demos.where("id < 5").select("raw_path"))
+    assert {k: v.count() for k, v in out.items()} == {"demos": 45, "results": 45, "files": 45, "removed": 5, "backup": 50, "unknown": 0}
+    for df in out.values():
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tracking_states(spark):
     lines = [
         (1, 1, "Paired device: Type:  Right, TrackingStatus:  POSITION"),
