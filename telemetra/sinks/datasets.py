@@ -24,7 +24,14 @@ def documents(rows: DataFrame, path: str) -> None:
 
 
 def _by_episode(rows: DataFrame, order: str) -> DataFrameWriter:
-    return rows.repartition("task", "episode").sortWithinPartitions("task", "episode", order).write.partitionBy("task", "episode").mode("overwrite")
+    """Files are what costs, not their bytes: a number of tasks keeps them from being joined into one, and each task puts its own files into place.
+
+    A task that is repeated writes the same names again.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    out = rows.repartition(tasks, "task", "episode").sortWithinPartitions("task", "episode", order).write
+    return out.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("task", "episode").mode("overwrite")
 
 
 def seven(rows: DataFrame) -> DataFrame:

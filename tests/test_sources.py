@@ -112,3 +112,12 @@ def test_store_of_records(spark):
     patch = spark.createDataFrame([(2, "c", None), (9, "z", "z")], "id long, name string, status string")
     assert sorted(map(tuple, records.updated(store, patch, F.lit(5).cast("long")).collect())) == [(1, "a", "x", 0), (2, "c", "y", 5)]
     assert [r.id for r in records.page(store, [F.desc("id")], 99, 1).collect()] == [1]
+
+
+def test_documents_are_written_by_several_tasks(spark, tmp_path):
+    """Small tables of many episodes are not joined into one task's files."""
+    from telemetra.sinks import datasets
+
+    datasets.documents(spark.range(60).selectExpr("concat('t', id % 3) task", "concat('e', id) episode", "'{}' json"), str(tmp_path / "s"))
+    names = [f.name for f in (tmp_path / "s").rglob("part-*.txt")]
+    assert len(names) == 60 and len({n[:10] for n in names}) > 1
